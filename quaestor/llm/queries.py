@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import packing, pages, split
+from quaestor.llm import packing, pages, site_lines, split
 from quaestor.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, d, "scraped_pages"))
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.without_repeated_lines(table(spark, d, "scraped_pages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split.cut_kinds(table(spark, d, "scraped_pages"))
 
