@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import packing, pages, site_lines, split
+from quaestor.llm import packing, pages, site_lines, spans, split
 from quaestor.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_characters(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
