@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import packing, pages, site_lines, spans, split
+from quaestor.llm import near_duplicates, packing, pages, site_lines, spans, split
 from quaestor.llm.common import table
+from quaestor.plans.cut import cut
+
+#: Similarity from which pages are versions of one another, where nothing else is prescribed.
+GROUP_SIMILARITY = Fraction(4, 5)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +42,26 @@ def p4_main_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.main_text(table(spark, d, "scraped_pages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = near_duplicates.similar_pairs(table(spark, d, "facts"), "fact_id", "fact")
+    web = table(spark, d, "scraped_pages")
+    found = cut(near_duplicates.similar_pairs(web, "page_id", "text"))
+    ends = found.select(F.col("a").alias("page_id")).union(found.select("b")).distinct()
+    residue = pages.residue_pages(web.join(ends, "page_id", "left_semi")).select("page_id")  # only of pages in a pair
+    residue = cut(residue)
+    proper = found.join(residue.withColumnRenamed("page_id", "a"), "a", "left_anti").join(residue.withColumnRenamed("page_id", "b"), "b", "left_anti")
+    both = facts.select(F.lit("facts").alias("tbl"), "a", "b").union(proper.select(F.lit("scraped_pages"), "a", "b"))
+    return both.select("tbl", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def p5_fact_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(table(spark, d, "facts"), "fact_id", "fact")
+
+
+def p5_page_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(table(spark, d, "scraped_pages"), "page_id", "text", GROUP_SIMILARITY)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.residue_pages(table(spark, d, "scraped_pages")).select("page_id")
 
