@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as in Unicode-aware regular expressions of most languages, for Java's character classes.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

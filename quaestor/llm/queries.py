@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import near_duplicates, packing, pages, site_lines, spans, split
+from quaestor.llm import answers, contamination, near_duplicates, packing, pages, site_lines, spans, split
 from quaestor.llm.common import table
 from quaestor.plans.cut import cut
 
@@ -26,6 +26,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(table(spark, d, "scraped_pages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defective_answers(table(spark, d, "chat_answers"), table(spark, d, "chat_queries")).select("answer_id", "defect")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split.cut_kinds(table(spark, d, "scraped_pages"))
 
@@ -78,6 +82,14 @@ def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).where(F.col("run") >= contamination.WINDOW).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
