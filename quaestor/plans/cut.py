@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a narrow table (a few numbers a row) is sent to every executor.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table that was cut, marked for broadcast if it is counted to have at most ``rows`` rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
