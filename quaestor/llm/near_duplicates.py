@@ -5,7 +5,7 @@
   within their first ``n - ceil(t * n) + 1`` words, so a join on these prefixes finds *every* pair; size
   and position bounds are part of the join condition.  Only frequent words need a known frequency:
   those in at least ``HEAVY`` of the documents, at most ``mean words / HEAVY`` of them, are broadcast.
-* BayesLSH: in the same condition, one-bit MinHash values are compared 16 at a time, and a pair is
+* BayesLSH: in the same condition, ``BITS``-bit MinHash values are compared 16 at a time, and a pair is
   dropped as soon as the posterior probability that its similarity reaches t is below ``TOLERANCE``.
 * What is left is verified on the words themselves.
 """
@@ -21,16 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.plans.cut import cut
+from quaestor.plans.cut import cut, sized
 
 HEAVY = 0.001
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5
 MIN_WORDS = 5
 SIGNATURE = 64
+BITS = 4
 _STEP = 16
+_SIGS = [f"sig_{k}" for k in range(BITS)]
 #: Multipliers of the hash functions, from a fixed rule.
 _A = (np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_B = np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 
 def words_of(text: str) -> set[str]:
@@ -83,7 +84,7 @@ def _prefix_size(n: int, t: Fraction) -> int:
 
 
 def signatures(texts: DataFrame, t: Fraction) -> DataFrame:
-    """``(id, n, set_a, set_b, sig, prefix)``: size, two hashes of the word set, one-bit MinHash values, and the rarest words' hashes in order."""
+    """``(id, n, set_a, set_b, sig_0 .. sig_3, prefix)``: size, two hashes of the word set, MinHash values bit by bit, and the rarest words' hashes in order."""
     spark = texts.sparkSession
     heavy = spark.sparkContext.broadcast(heavy_words(texts))
 
@@ -94,7 +95,8 @@ def signatures(texts: DataFrame, t: Fraction) -> DataFrame:
         rank = {digest(w): k + 1 for k, w in enumerate(heavy.value)}
         weights = np.uint64(1) << np.arange(SIGNATURE, dtype=np.uint64)
         for batch in batches:
-            ids, sizes, a, b, sigs, prefixes = [], [], [], [], [], []
+            ids, sizes, a, b, prefixes = [], [], [], [], []
+            sigs: list[list[int]] = [[] for _ in range(BITS)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < MIN_WORDS:
@@ -105,35 +107,36 @@ def signatures(texts: DataFrame, t: Fraction) -> DataFrame:
                 n = len(h)
                 least = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, n, 512):
-                    x = h[at : at + 512, None] * _A + _B
+                    x = _A[:, None] * h[at : at + 512]
                     x ^= x >> np.uint64(32)
-                    np.minimum(least, (x * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0), out=least)
-                bits = (least >> np.uint64(17)) & np.uint64(1)
+                    np.minimum(least, (x * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1), out=least)
                 mixed = h * np.uint64(0x94D049BB133111EB)
                 ids.append(i), sizes.append(n)
                 a.append(int(h.sum().astype(np.int64))), b.append(int((mixed ^ (mixed >> np.uint64(31))).sum().astype(np.int64)))
-                sigs.append(int((bits * weights).sum().astype(np.int64)))
+                for k in range(BITS):
+                    sigs[k].append(int((((least >> np.uint64(17 + k)) & np.uint64(1)) * weights).sum().astype(np.int64)))
                 prefixes.append(h[np.argsort(order, kind="stable")[: _prefix_size(n, t)]].astype(np.int64))
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.int64()), lists], ["id", "n", "set_a", "set_b", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(x, pa.int64()) for x in sigs), lists], ["id", "n", "set_a", "set_b", *_SIGS, "prefix"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n int, set_a long, set_b long, sig long, prefix array<long>")
+    return texts.select("id", "text").mapInArrow(run, f"id long, n int, set_a long, set_b long, {', '.join(f'{c} long' for c in _SIGS)}, prefix array<long>")
 
 
 def pruning_table(t: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """``[(compared, most_differences)]``: after so many one-bit values, more differences than that end the comparison.
+    """``[(compared, most_differences)]``: after so many values, more differences than that end the comparison.
 
-    Two values agree with probability (1 + J) / 2.  With a uniform prior on J, the posterior probability
-    of J >= t is the share of the likelihood above t.
+    Two values agree with probability J + (1 - J) / 2**BITS.  With a uniform prior on J, the posterior
+    probability of J >= t is the share of the likelihood above t.
     """
     j = (np.arange(4000) + 0.5) / 4000
+    agree = j + (1 - j) / 2**BITS
     out = []
     for n in range(_STEP, SIGNATURE + 1, _STEP):
         most = -1
         for d in range(n + 1):
-            like = ((1 + j) / 2) ** (n - d) * ((1 - j) / 2) ** d
+            like = agree ** (n - d) * (1 - agree) ** d
             if like[j >= t].sum() / like.sum() < tolerance:
                 break
             most = d
@@ -141,9 +144,11 @@ def pruning_table(t: float, tolerance: float = TOLERANCE) -> list[tuple[int, int
     return out
 
 
-def _promising(x: Column, y: Column, t: float) -> Column:
-    """The incremental comparison as one condition; AND stops at the first step that fails."""
-    differing = x.bitwiseXOR(y)
+def _promising(t: float) -> Column:
+    """The incremental comparison of x and y as one condition; AND stops at the first step that fails."""
+    differing = F.col("x.sig_0").bitwiseXOR(F.col("y.sig_0"))
+    for c in _SIGS[1:]:
+        differing = differing.bitwiseOR(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     cond = None
     for n, most in pruning_table(t):
         mask = (1 << n) - 1 if n < 64 else -1
@@ -153,15 +158,19 @@ def _promising(x: Column, y: Column, t: float) -> Column:
 
 
 def candidates(rows: DataFrame, t: Fraction) -> DataFrame:
-    """``(a, b)``: all pairs of ``rows`` that may reach t, by prefix, size, position and MinHash."""
-    flat = rows.select("id", "n", "sig", F.posexplode("prefix").alias("pos", "word"))
-    x, y = flat.alias("x"), flat.alias("y")
+    """``(a, b)``: all pairs of ``rows`` that may reach t, by prefix, size, position and MinHash.
+
+    x is the smaller set of a pair.  What the two share must fit behind the position of their first
+    common word, which leaves x a shorter prefix than y.
+    """
+    flat = rows.select("id", "n", *_SIGS, F.posexplode("prefix").alias("pos", "word"))
     p, q = t.numerator, t.denominator
+    x, y = flat.where((F.col("n") - F.col("pos")) * (p + q) >= 2 * p * F.col("n")).alias("x"), flat.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     ahead = (nx < ny) | ((nx == ny) & (F.col("x.id") < F.col("y.id")))
     sizes = nx * q >= ny * p
     reach = (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) * (p + q)) >= (nx + ny) * p
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & ahead & sizes & reach & _promising(F.col("x.sig"), F.col("y.sig"), float(t)))
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & ahead & sizes & reach & _promising(float(t)))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -194,10 +203,10 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fracti
     key = ["n", "set_a", "set_b"]
     many = rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*key, "rep")
     classes = cut(rows.select("id", *key).join(many, key).select("id", "rep"))
-    alone = rows.join(classes.where("id <> rep").select("id"), "id", "left_anti")
-    found = cut(candidates(alone, t))
-    used = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    needed = cut(texts.join(used, "id", "left_semi"))
+    copies = cut(classes.where("id <> rep").select("id"))
+    found = cut(candidates(rows.join(sized(copies), "id", "left_anti"), t))
+    used = cut(found.select(F.col("a").alias("id")).union(found.select("b")).distinct())
+    needed = cut(texts.join(sized(used), "id", "left_semi"))
     left = needed.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = needed.select(F.col("id").alias("b"), F.col("text").alias("y"))
     pairs = found.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long")
