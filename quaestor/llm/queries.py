@@ -103,11 +103,30 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL for the queries it can express; the others are tested against brute force in tests/llm."""
     return {
-        "p7_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_RE2_TOKEN}')) > 2048",
+        "p1_found": f"""WITH l AS (SELECT page_id, site, line_no, regexp_replace(lower(line), '[^\\pL]', '', 'g') AS k FROM (
+SELECT page_id, site, unnest(generate_series(1, len(lines))) AS line_no, unnest(lines) AS line FROM (
+SELECT page_id, {_SITE} AS site, string_split(text, chr(10)) AS lines FROM scraped_pages WHERE url IS NOT NULL AND text IS NOT NULL)) WHERE site <> ''),
+r AS (SELECT site, k FROM l WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT page_id) >= 5)
+SELECT page_id, line_no::BIGINT AS line_no FROM l JOIN r USING (site, k)""",
         "p3_found": "SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ]+'), lambda x: length(x))) > 15000 "
         "THEN 'forced' ELSE 'natural' END AS cut_kind FROM scraped_pages WHERE length(text) > 15000",
+        "p7_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_RE2_TOKEN}')) > 2048",
+        "p8_found": f"""WITH i AS (SELECT item_id AS id, {_words("question || ' ' || answer")} AS w FROM eval_items), d AS (SELECT doc_id AS id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT id, array_to_string(w[p : p + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) >= 12)),
+dw AS (SELECT id, array_to_string(w[p : p + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12))
+SELECT DISTINCT dw.id AS doc_id, iw.id AS item_id FROM dw JOIN iw USING (s)""",
+        "p9_found": """WITH s AS (SELECT doc_id, hash(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM documents WHERE length(text) >= 300)),
+m AS (SELECT DISTINCT h, doc_id FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(DISTINCT doc_id) > 1))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
     }
 
 
+_SITE = "regexp_replace(lower(regexp_extract(url, '^\\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
 _RE2_TOKEN = r"[\pL\pN_]+|[^\pL\pN_\s\x0b\x1c-\x1f\x{85}\pZ]+"
+
+
+def _words(column: str) -> str:
+    folded = f"replace(strip_accents(lower(regexp_replace({column}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g'))), 'ł', 'l')"
+    return f"regexp_extract_all({folded}, '[\\pL\\pN]+')"
