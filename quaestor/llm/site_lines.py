@@ -31,14 +31,17 @@ DEPTH = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_occurrences(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """``(id, line_no, ord, h, first)``: each line with a letter; ``ord`` counts them, ``first`` marks a line's first occurrence in its document."""
-    page = df.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("site is not null and text is not null")
+def line_identifiers(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
+    """``(id, line_no ARRAY<INT>, h ARRAY<BIGINT>)``: the lines with a letter of each document, and their identifiers."""
+    page = df.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("id is not null and site is not null and text is not null")
     keys = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_replace(F.lower(x), r"[^\p{L}]+", "").alias("key")))
-    kept = F.transform(F.filter(keys, lambda x: x["key"] != ""), lambda x: F.struct(x["line_no"].alias("line_no"), F.xxhash64(F.col("site"), x["key"]).alias("h")))
-    lines = page.select("id", kept.alias("lines")).withColumn("all", F.transform("lines", lambda x: x["h"]))
-    out = lines.select("id", "all", F.posexplode("lines").alias("ord", "x"))
-    return out.select("id", F.col("x.line_no").alias("line_no"), "ord", F.col("x.h").alias("h"), (F.array_position("all", F.col("x.h")) == F.col("ord") + 1).alias("first"))
+    lines = page.select("id", "site", F.filter(keys, lambda x: x["key"] != "").alias("lines"))
+    return lines.select("id", F.transform("lines", lambda x: x["line_no"]).alias("line_no"), F.transform("lines", lambda x: F.xxhash64(F.col("site"), x["key"])).alias("h"))
+
+
+def occurrences(lines: DataFrame) -> DataFrame:
+    """``(id, line_no, ord, h)``: one row per line; ``ord`` counts the lines with a letter."""
+    return lines.select("id", F.posexplode(F.arrays_zip("line_no", "h")).alias("ord", "x")).select("id", "x.line_no", "ord", "x.h")
 
 
 def _suffixes(ords: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +113,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k + 1, np.int32)), pa.array(block[at].astype(np.int64)), pa.array(rows[at, 0]), pa.array(docs[live])], ["k", "block", "head", "docs"])
 
 
-def repeated_blocks(occurrences: DataFrame, min_docs: int = 5) -> DataFrame:
+def repeated_blocks(lines: DataFrame, min_docs: int = 5) -> DataFrame:
     """``(k, block, head, docs)``: blocks of k lines found in at least ``min_docs`` documents of a site; ``head`` is the first line's identifier."""
-    seen_twice = occurrences.where("first").groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("h")
-    kept = occurrences.join(seen_twice, "h").select("id", F.struct("ord", "h").alias("x"))
+    seen_twice = lines.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("h")
+    kept = occurrences(lines).join(seen_twice, "h").select("id", F.struct("ord", "h").alias("x"))
     sequences = kept.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("x")
     suffixes = sequences.mapInArrow(_count_suffixes, ", ".join(f"{c} long" for c in [*_COLUMNS, "seen", "n"]))
     suffixes = suffixes.groupBy(*_COLUMNS, "seen").agg(F.sum("n").alias("n"))
@@ -126,12 +129,12 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text
     """``(id_col, line_no BIGINT)``: every occurrence of a line found in at least ``min_docs`` documents of its site.
 
     Lines are equal if their letters, lower-cased and in order, are equal; lines without letters are
-    never repeated.  Documents with null address or text have no rows.  An empty table gives no rows.
+    never repeated.  Documents with null id, address or text have no rows.  An empty table gives no rows.
     Repetitions inside one document count once; ids are taken to be unique.
     """
-    occurrences = cut(line_occurrences(df, id_col, text_col, url_col))
-    heads = repeated_blocks(occurrences, min_docs).where("k = 1").select(F.col("head").alias("h"))
-    return occurrences.join(heads, "h").select(F.col("id").alias(id_col), F.col("line_no").cast("bigint").alias("line_no"))
+    lines = cut(line_identifiers(df, id_col, text_col, url_col))
+    heads = repeated_blocks(lines, min_docs).where("k = 1").select(F.col("head").alias("h"))
+    return occurrences(lines).join(heads, "h").select(F.col("id").alias(id_col), F.col("line_no").cast("bigint").alias("line_no"))
 
 
 def without_repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text", url_col: str = "url", min_docs: int = 5) -> DataFrame:
