@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 WINDOW = 3
 #: Window sum at which the main content surges, in characters.
 SURGE = 40
+#: A line with so many words in small letters is a sentence, even without a full stop.
+SENTENCE_WORDS = 5
 
 # --- fixed values: phrases by which site furniture is known, in Polish, English and German -----------
 #: A line that begins so is furniture.
@@ -75,7 +77,7 @@ NOTE = re.compile(
 )
 #: Beginnings of a body's subheadings, which are not page titles.
 SUBHEAD = re.compile(
-    r"^(?:kontakt\s+w\s+sprawie|zasady\s+zaliczenia|terminy|zakres|contact\s+about|assessment\s+rules|dates\s+for|scope\s+of|ansprechpartner|termine\s+\S|umfang|inhalt|pr[uü]fungsregeln|bewertung|leistungsnachweis)\b",
+    r"^(?:kontakt\s+w\s+sprawie|zasady\s+zaliczenia|terminy|zakres|contact\s+about|assessment\s+rules|dates\s+for|scope\s+of|ansprechpartner|termine|umfang|inhalt|pr[uü]fung|pr[uü]fungsregeln|bewertung|leistungsnachweis)(?=\s)",
     re.I,
 )
 # --- end of fixed values ------------------------------------------------------------------------
@@ -149,7 +151,9 @@ def _kind(raw: str, text: str, linked: int) -> str:
         return "note"
     if _MENU.search(text):
         return "furniture"
-    return "title" if len(text) < 160 else "body"
+    if len(text) >= 160 or (len(text) >= 30 and sum(w.strip(".,;:()").islower() for w in text.split()) >= SENTENCE_WORDS):
+        return "body"
+    return "title"
 
 
 def lines_of(text: str) -> list[Line]:
@@ -186,18 +190,19 @@ def analyze(text: str) -> Page:
     else:
         first = next(i for i in range(surge, n) if weight[i])
         dive = max(i for i in range(n) if weight[i])
-        for i in range(first, dive + 1):
-            x = lines[i]
-            if x.kind in ("body", "note") or (x.kind == "title" and _inner(lines, i, first, dive)):
+        before = ""
+        for x in lines[first : dive + 1]:
+            if x.kind in ("body", "note") or (x.kind == "title" and _inner(x, before)):
                 page.body.append(x)
+            if x.kind not in ("blank", "rule"):
+                before = x.kind
     page.heading = _heading(lines, first)
     return page
 
 
-def _inner(lines: list[Line], i: int, first: int, dive: int) -> bool:
-    """A title between body lines is a subheading unless it stands among links."""
-    before = next((x.kind for x in reversed(lines[first:i]) if x.kind not in ("blank", "rule")), "")
-    return before not in ("link", "linkhead") or lines[i].heading or bool(SUBHEAD.match(lines[i].text))
+def _inner(x: Line, before: str) -> bool:
+    """A title between body lines is a subheading unless it follows a link."""
+    return before not in ("link", "linkhead") or x.heading or bool(SUBHEAD.match(x.text))
 
 
 def _heading(lines: list[Line], first: int) -> list[Line]:
