@@ -221,7 +221,7 @@ def is_truncated(answer: str, query: str = "") -> bool:
     last_line = bare.rsplit("\n", 1)[-1].strip()
     if re.match(r"(?:[-*•+–]|\d{1,3}[.)])\s", last_line):
         return _open_entry(last_line)
-    last = bare if len(bare.split()) <= 6 else _SENTENCE_END.split(last_line)[-1]
+    last = _last_statement(last_line)
     last = re.sub(r"^(?:\[\s*S?\d+\s*\]\s*)+", "", last)
     words = last.split()
     if len(words) > 6 or last != bare:
@@ -229,6 +229,15 @@ def is_truncated(answer: str, query: str = "") -> bool:
     return not (words[-1][0].isupper() or any(ch.isdigit() for ch in words[-1]) or words[0].lower().rstrip(",") in ("tak", "nie", "yes", "no", "ja", "nein") or len(words) <= 2)
 
 
+def _last_statement(line: str) -> str:
+    """What follows the last full stop that is not part of an abbreviation."""
+    at = 0
+    for m in _SENTENCE_END.finditer(line):
+        if not OPEN_ABBREVIATION.search(line[max(0, m.start() - 12) : m.start()]):
+            at = m.end()
+    return line[at:]
+
+
 def _open_delimiter(text: str) -> bool:
     """An opening bracket or quotation mark is left on the stack, and not from a finished sentence long before."""
     stack: list[tuple[str, int]] = []
