@@ -196,9 +196,9 @@ def _verify(t: Fraction):
 def similar_sets(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fraction(3, 4)) -> tuple[DataFrame, DataFrame]:
     """``(pairs, classes)``: ``(a, b)`` between representatives with similarity >= t, and ``(id, rep)`` of word sets that occur more than once.
 
-    Null texts and texts with fewer than ``MIN_WORDS`` distinct words take no part.
+    Null ids, null texts and texts with fewer than ``MIN_WORDS`` distinct words take no part.
     """
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     rows = cut(signatures(texts, t))
     key = ["n", "set_a", "set_b"]
     many = rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*key, "rep")
