@@ -115,3 +115,17 @@ def history(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     ordered = turns.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     lines = F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), F.coalesce(x["text"], F.lit(""))))
     return ordered.select(conv, F.size("t").alias("n_turns"), F.array_join(lines, "\n").alias("transcript"))
+
+
+def append_turns(turns: DataFrame, queries: DataFrame, responses: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """``turns (conv, turn, role, text)`` with one exchange more per conversation.
+
+    ``queries (conv, query)`` always add a user turn, ``responses (conv, answer)`` an assistant turn only
+    where there is an answer.  New conversations begin with turn 1.
+    """
+    last = turns.groupBy(conv).agg(F.max("turn").alias("last"))
+    asked = queries.join(last, conv, "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    user = asked.select(conv, (F.col("last") + 1).alias("turn"), F.lit("user").alias("role"), F.col("query").alias("text"))
+    given = responses.where("answer is not null").join(asked.select(conv, "last"), conv)
+    reply = given.select(conv, (F.col("last") + 2).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    return turns.select(conv, "turn", "role", "text").unionByName(user).unionByName(reply)

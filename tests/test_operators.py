@@ -146,3 +146,31 @@ def test_passthrough(spark):
     df = spark.createDataFrame([("a", " x\n"), ("b", " "), ("c", None)], "file string, text string")
     assert rows(facts.passthrough_facts(df, "file", "text"), "file") == [("a", "x"), ("b", "")]
     assert rows(facts.truthy_facts(spark.createDataFrame([("",), (" ",), (None,), ("a",)], "fact string"))) == [(" ",), ("a",)]
+
+
+def test_append_turns(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "a"), (1, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    queries = spark.createDataFrame([(1, "c"), (2, "d"), (3, "e")], "conv_id long, query string")
+    responses = spark.createDataFrame([(1, "C"), (2, None)], "conv_id long, answer string")
+    got = rows(prompt.append_turns(turns, queries, responses), "conv_id", "turn")
+    assert got == [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "assistant", "C"), (2, 1, "user", "d"), (3, 1, "user", "e")]
+
+
+def test_cli():
+    from quaestor import cli
+
+    assert list(cli.questions(["  a ", "", "b\n", "q", "c"])) == ["a", None, "b"]
+    assert list(cli.questions(["Q"])) == list(cli.questions([])) == []
+
+
+def test_log_levels(tmp_path):
+    import logging
+
+    from quaestor import cli
+
+    assert cli.log_level("debug") == logging.DEBUG and cli.log_level("nonsense") == cli.log_level(None) == logging.INFO
+    log = cli.setup_logging(str(tmp_path / "x" / "log.txt"), "warning")
+    log.warning("here")
+    for h in log.handlers:
+        h.flush()
+    assert "here" in (tmp_path / "x" / "log.txt").read_text()
