@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaestor.config import VERSIONS, PipelineConfig, config_for
 from quaestor.functions import json, text
-from quaestor.operators import embed, facts, prompt, relational, retrieve
+from quaestor.operators import ann, embed, facts, prompt, relational, retrieve
 from quaestor.plans.pipeline import valid_queries
 from quaestor.sources import pages as page_source
 from quaestor.sources.files import with_sources
@@ -171,6 +171,14 @@ def topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.top_k_batch(queries, index, _DEFAULTS.top_k, "query_id", "vec_id")
 
 
+def topk_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries through the approximate index: 32 cells, 20 of them read."""
+    index = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    queries = index.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centres = ann.fit_centres(index, 32)
+    return ann.top_k_cells(queries, ann.assign_cells(index, centres), centres, _DEFAULTS.top_k, 20, "query_id", "vec_id")
+
+
 # prompts and answers
 
 
@@ -246,7 +254,7 @@ def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """
-    topk_single topk_batch trim_head trim_foot trim_both safe_name page_header page_files crawl_limit page_links chunk_fixed passthrough_fact
+    topk_single topk_batch topk_cells trim_head trim_foot trim_both safe_name page_header page_files crawl_limit page_links chunk_fixed passthrough_fact
     nonblank_paragraphs truthy_facts facts_name code_fence json_field_default source_default table_markdown config_versions last_wins
     sidecar_source union_folders assign_ids write_batches collection_counts prompt_context prompt_full student_clause query_rejects
     sources_ranked sources_distinct no_hit_answer ui_format chat_history hash_embed facts_extractive answer_extractive

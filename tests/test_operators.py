@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor.config import config_for
-from quaestor.operators import embed, facts, prompt, relational, retrieve
+from quaestor.operators import ann, embed, facts, prompt, relational, retrieve
 
 
 def rows(df, *order):
@@ -174,3 +174,20 @@ def test_log_levels(tmp_path):
     for h in log.handlers:
         h.flush()
     assert "here" in (tmp_path / "x" / "log.txt").read_text()
+
+
+def test_approximate_top_k(spark):
+    rng = np.random.default_rng(5)
+    groups = rng.normal(size=(20, 16))
+    vectors = (groups[rng.integers(0, 20, 1500)] + 0.6 * rng.normal(size=(1500, 16))).astype(np.float32)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(9998, None), (9999, [0.0] * 16)], "id long, embedding array<float>").repartition(6)
+    queries = index.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    centres = ann.fit_centres(index, 16, sample_rows=400)
+    celled = ann.assign_cells(index, centres)
+    assert celled.count() == 1500
+    found = ann.top_k_cells(queries, celled, centres, 5, probes=4)
+    exact = retrieve.top_k_batch(queries, index, 5)
+    assert ann.recall(exact, found) >= 0.9
+    assert ann.recall(exact, ann.top_k_cells(queries, celled, centres, 5, probes=16)) == 1
+    none = ann.fit_centres(index.limit(0), 16)
+    assert ann.top_k_cells(queries, ann.assign_cells(index, none), none).collect() == []
