@@ -118,3 +118,20 @@ def test_streaming_ingest(spark, tmp_path):
     got = index.open_index(spark, str(tmp_path / "index"))
     assert sorted((r["id"], r["document"]) for r in got.collect()) == [("ids_1", "f"), ("ids_2", "g"), ("ids_3", "h")]
     assert got.select(F.max(F.size("embedding"))).first()[0] == 64
+
+
+def test_sinks(spark, tmp_path):
+    from quaestor.sources import sinks
+
+    facts = spark.createDataFrame([("a.txt", 0, 1, None, "y"), ("a.txt", 0, 0, "s", "x"), ("b.txt", 1, 0, "s", "z")], "file string, chunk_no int, pos int, source string, fact string")
+    path = str(tmp_path / "facts")
+    for rows_ in (facts, facts.where("file = 'a.txt'")):
+        sinks.write_facts(rows_, path)
+    got = spark.read.parquet(path).collect()
+    assert [(r["file"], [tuple(x) for x in r["facts"]]) for r in got] == [("a_facts.json", [("s", "x"), (None, "y")])]
+    pages_ = spark.createDataFrame([(1, "https://a", "x#y"), (2, "https://a/", "z")], "page_id long, url string, text string")
+    sinks.write_pages(pages_, path, "#", "!")
+    assert rows(spark.read.parquet(path)) == [("a.txt", "URL: https://a/\n\nz")]
+    office = spark.createDataFrame([("a", "t", "u", None), ("b", None, "u", "bad")], "file string, text string, source_url string, error string")
+    sinks.write_processed(office, path)
+    assert rows(spark.read.parquet(path)) == [("a", "t", "u")]

@@ -56,3 +56,12 @@ def test_field_default(spark):
 def test_markdown_row(spark):
     df = spark.createDataFrame([(["a", None, "c"],), ([],)], "c array<string>")
     assert [r[0] for r in df.select(text.markdown_row(F.col("c"))).collect()] == ["| a |  | c |", "|  |"]
+
+
+def test_arrays(spark):
+    from quaestor.functions.arrays import slices, zip_shortest
+
+    df = spark.createDataFrame([([1, 2, 3], ["a", "b"]), ([], ["a"]), (None, ["a"])], "a array<int>, b array<string>")
+    got = df.select(zip_shortest(F.col("a"), F.col("b")).alias("z"), slices(F.col("a"), 2).alias("s")).collect()
+    assert [None if r["z"] is None else [tuple(x) for x in r["z"]] for r in got] == [[(1, "a"), (2, "b")], [], None]
+    assert [r["s"] for r in got] == [[[1, 2], [3]], [], []]
