@@ -20,23 +20,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quaestor.llm.common import site_of
-from quaestor.plans.cut import cut
+from quaestor.plans.cut import BROADCAST_ROWS, cut
 
 #: Lines compared at most; longer blocks appear as overlapping blocks of this length.
 DEPTH = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_identifiers(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """``(id, line_no ARRAY<INT>, h ARRAY<BIGINT>)``: the lines with a letter of each document, and their identifiers."""
+def line_identifiers(df: DataFrame, id_col: str, text_col: str, url_col: str, keep_text: bool = False) -> DataFrame:
+    """``(id, line_no ARRAY<INT>, h ARRAY<BIGINT>)``: the lines with a letter of each document, and their identifiers; with ``text`` after the id if wanted."""
     page = df.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("id is not null and site is not null and text is not null")
     keys = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_replace(F.lower(x), r"[^\p{L}]+", "").alias("key")))
-    lines = page.select("id", "site", F.filter(keys, lambda x: x["key"] != "").alias("lines"))
-    return lines.select("id", F.transform("lines", lambda x: x["line_no"]).alias("line_no"), F.transform("lines", lambda x: F.xxhash64(F.col("site"), x["key"])).alias("h"))
+    text = ["text"] if keep_text else []
+    lines = page.select("id", "site", *text, F.filter(keys, lambda x: x["key"] != "").alias("lines"))
+    return lines.select("id", *text, F.transform("lines", lambda x: x["line_no"]).alias("line_no"), F.transform("lines", lambda x: F.xxhash64(F.col("site"), x["key"])).alias("h"))
 
 
 def occurrences(lines: DataFrame) -> DataFrame:
@@ -137,9 +140,42 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text
     return occurrences(lines).join(heads, "h").select(F.col("id").alias(id_col), F.col("line_no").cast("bigint").alias("line_no"))
 
 
-def without_repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text", url_col: str = "url", min_docs: int = 5) -> DataFrame:
-    """``(id_col, removed INT, text_col)``: every document, null texts included, without the lines that its site repeats."""
-    per = repeated_lines(df, id_col, text_col, url_col, min_docs).groupBy(id_col).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
-    lines = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_gone", i + 1))
+def _drop_lines(gone: Broadcast, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = gone.value
+        for batch in batches:
+            texts, removed = [], []
+            numbers, hashes = batch.column(2), batch.column(3)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if text is None or not numbers[k].is_valid:
+                    texts.append(text), removed.append(0)
+                    continue
+                h = hashes[k].values.to_numpy()
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                drop = set(numbers[k].values.to_numpy()[known[at] == h].tolist()) if len(known) and len(h) else set()
+                texts.append("\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in drop) if drop else text)
+                removed.append(len(drop))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(removed, pa.int32()), pa.array(texts, pa.string())], ["id", "removed", "text"])
+
+    return run
+
+
+def without_repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text", url_col: str = "url", min_docs: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(id_col, removed INT, text_col)``: every document, null texts included, without the lines that its site repeats.
+
+    Up to ``broadcast_rows`` repeated identifiers, counted beforehand, are sent to the executors and texts
+    stay where they are; beyond that, texts are joined with the numbers of the lines to remove.
+    """
+    lines = cut(line_identifiers(df, id_col, text_col, url_col))
+    heads = cut(repeated_blocks(lines, min_docs).where("k = 1").select(F.col("head").alias("h")).distinct())
+    if heads.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        gone = df.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in heads.collect()), np.int64))
+        kind = df.schema[id_col].dataType
+        page = line_identifiers(df.where(F.col(url_col).isNotNull()), id_col, text_col, url_col, keep_text=True)
+        rest = df.where(F.col(url_col).isNull() | site_of(F.col(url_col)).isNull() | F.col(text_col).isNull() | F.col(id_col).isNull())
+        done = page.mapInArrow(_drop_lines(gone, to_arrow_type(kind)), f"id {kind.simpleString()}, removed int, text string")
+        return done.select(F.col("id").alias(id_col), "removed", F.col("text").alias(text_col)).union(rest.select(id_col, F.lit(0), text_col))
+    per = occurrences(lines).join(heads, "h").groupBy(F.col("id").alias(id_col)).agg(F.collect_set("line_no").alias("_gone"))
+    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_gone", i + 1))
     joined = df.select(id_col, text_col).join(per, id_col, "left")
-    return joined.select(id_col, F.coalesce(F.size("_gone"), F.lit(0)).alias("removed"), F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", lines)).alias(text_col))
+    return joined.select(id_col, F.coalesce(F.size("_gone"), F.lit(0)).alias("removed"), F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)).alias(text_col))

@@ -30,13 +30,15 @@ def test_against_brute_force(spark, seed):
     df = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, text string, id int, h string").repartition(6)
     got = sorted(tuple(r) for r in site_lines.repeated_lines(df).collect())
     assert got == brute(rows)
-    clean = {r["page_id"]: r for r in site_lines.without_repeated_lines(df).collect()}
     gone = defaultdict(set)
     for i, n in got:
         gone[i].add(n)
-    for i, _, text in rows:
-        want = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in gone[i])
-        assert clean[i]["text"] == want and clean[i]["removed"] == len(gone[i])
+    for most in (0, 10**6):
+        clean = {r["page_id"]: r for r in site_lines.without_repeated_lines(df, broadcast_rows=most).collect()}
+        assert len(clean) == len(rows)
+        for i, _, text in rows:
+            want = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in gone[i])
+            assert clean[i]["text"] == want and clean[i]["removed"] == len(gone[i])
 
 
 def test_edges(spark):
