@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quaestor.functions.vectors import cosine
 
@@ -33,14 +34,14 @@ def top_k_batch(queries: DataFrame, index: DataFrame, k: int = 5, query_id: str
     """``(query_id, id_col, sim, rank INT)``: for each query vector the k most similar rows of the index, ties by id.
 
     The stated queries go to the executors in blocks of ``BLOCK`` vectors; each Arrow batch of the index
-    is multiplied with a block at once and keeps k rows per query, so what is shuffled is k rows per
-    query and batch, however large the index.  Zero and null vectors are never hits.
+    is multiplied with a block at once and every partition keeps k rows per query, so what is shuffled is
+    k rows per query and partition, however large the index.  Zero and null vectors are never hits.
     """
     spark = index.sparkSession
-    kind = index.schema[id_col].dataType.simpleString()
-    schema = f"query_id long, id {kind}, sim double"
+    schema = f"query_id long, id {index.schema[id_col].dataType.simpleString()}, sim double"
+    kind = to_arrow_type(index.schema[id_col].dataType)
     parts = []
-    rows = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    rows = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     block: list[tuple[int, list[float]]] = []
 
     def part(block: list[tuple[int, list[float]]]) -> DataFrame:
@@ -49,24 +50,23 @@ def top_k_batch(queries: DataFrame, index: DataFrame, k: int = 5, query_id: str
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = shared.value
             unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            best: list[tuple[list[float], list]] = [([], []) for _ in ids]  # the k best so far of this partition
             for batch in batches:
-                if not batch.num_rows:
+                m = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if any(v)]
+                if not m:
                     continue
-                m = np.array(batch.column(1).to_pylist(), np.float64)
-                norm = np.linalg.norm(m, axis=1)
-                ok = np.flatnonzero(norm > 0)
-                if not len(ok):
-                    continue
-                names = batch.column(0).take(pa.array(ok))
-                sims = np.round((m[ok] / norm[ok, None]) @ unit.T, DIGITS)
-                order = np.array(names.to_pylist())
-                out_q, out_row, out_sim = [], [], []
-                for q in range(len(ids)):
-                    best = np.lexsort((order, -sims[:, q]))[:k]
-                    out_q += [ids[q]] * len(best)
-                    out_row += best.tolist()
-                    out_sim += sims[best, q].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), names.take(pa.array(out_row)), pa.array(out_sim, pa.float64())], ["query_id", "id", "sim"])
+                x = np.array([v for _, v in m], np.float64)
+                sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T, DIGITS)
+                names = [i for i, _ in m]
+                for q, (old_sims, old_names) in enumerate(best):
+                    floor = old_sims[-1] if len(old_sims) == k else -2.0
+                    some = np.flatnonzero(sims[:, q] >= floor)
+                    if len(some):
+                        ranked = sorted(zip(old_sims + sims[some, q].tolist(), old_names + [names[j] for j in some]), key=lambda p: (-p[0], p[1]))[:k]
+                        best[q] = ([s for s, _ in ranked], [n for _, n in ranked])
+            sizes = [len(s) for s, _ in best]
+            flat = pa.array([n for _, names in best for n in names], kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), flat, pa.array([s for sims, _ in best for s in sims], pa.float64())], ["query_id", "id", "sim"])
 
         return rows.mapInArrow(run, schema)
 

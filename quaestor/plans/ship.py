@@ -12,8 +12,15 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch.  Texts are long: the default of 10 000 rows would hold tens of megabytes in each Python worker, several times over.
+BATCH_ROWS = 1000
+_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to all executors, once per application."""
+    """Send the package's sources to all executors, once per application, and make Arrow batches small unless they were set."""
+    if spark.conf.get(_CONF) == "10000":
+        spark.conf.set(_CONF, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
