@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 NO_VALUE = frozenset("none null nil nan n/a na undefined void brak puste empty leer keine nichts tbd todo unknown nieznane unbekannt -".split())
 #: Labels and headings that are no content.
 LABELS = frozenset(
-    "sources source źródła źródło quellen quelle answer odpowiedź antwort question pytanie frage q a p o f response reply references literatur bibliografia przypisy "
+    "sources source źródła źródło quellen quelle answer odpowiedź antwort question pytanie frage query zapytanie anfrage q a p o f response reply references literatur bibliografia przypisy "
     "context kontekst user assistant asystent użytkownik".split()
 )
 #: Parts of sentences that decline to answer.
@@ -51,7 +51,7 @@ VOTES = {
     "pl": frozenset(
         "w z na do się jest są nie że o od przez dla po oraz za ze przy który która które ten ta jak jakie jaki jaka kiedy gdzie kto co czy ile tak "
         "ma ten tym tego by ich jej jego został zostało składa należy złożyć odbędzie odbywają przyjmuje wymagane termin sali sala pokoju pokój godzinie godzina dnia kierunku przedmiot "
-        "przedmiotu egzamin stypendium wniosek formularz punktów opiekunem koła kole naukowym prowadzi znajdę podania warunki daje muszę szukam konsultacji konsultacje dwa złożony obejmuje próg wynosi kim z rozmawiać trzeba dołączyć".split()
+        "przedmiotu egzamin stypendium wniosek formularz punktów opiekunem koła kole naukowym prowadzi znajdę podania warunki daje muszę szukam konsultacji konsultacje dwa złożony obejmuje próg wynosi kim rozmawiać trzeba dołączyć godzina sala egzaminuje gmachu kursu prosi wcześniejszy kontakt sprawach pisze osoby spotkania są wagę kończy zaliczeniem można otrzymać projekt zaliczono semestry kartę przebiegu studiów dołączając upływa".split()
     ),
     "en": frozenset(
         "the of and to is for by on at with as be are it this that from or an a you your yes no when where who what which how many does do i can will must has have was were "
@@ -198,10 +198,10 @@ def is_truncated(answer: str, query: str = "") -> bool:
     """The last statement or list entry breaks off."""
     text = answer.translate(_INVISIBLE).rstrip()
     text = _SOURCES.sub("", text).rstrip()
-    if re.search(r"(?:^|\n)\s*(?:[-*•+–]|\d{1,3}[.)])$", text):
-        return True  # a list entry that was never written
     text = re.sub(r"(?:\s*\[\s*S?\d+(?:\s*[,;]\s*S?\d+)*\s*\][.,;]?)+$", lambda m: m.group(0)[-1] if m.group(0)[-1] in ".,;" else "", text, flags=re.I).rstrip()
     bare = text.rstrip("*_` \t\r\n")
+    if any(re.search(r"(?:^|\n)\s*(?:[-*•+–]|\d{1,3}[.)])$", x) for x in (text, bare)):
+        return True  # a list entry that was never written
     if not bare:
         return False
     if re.search(r"(?:https?://|www\.)\S+$|\S+@\S+\.\w+$", bare):

@@ -37,6 +37,9 @@ D = "Wann ist die Prüfung in „Modale Logik”?"
         (Q, "Formularz przyjmuje dr Abc [S2] („", "truncated"),
         (E, "The form is taken by Dr Q.\n2.", "truncated"),
         (E, "The form is taken by Dr Q because", "truncated"),
+        (E, "The form is taken by Dr Q [S1].\n2. [S3]", "truncated"),
+        (E, f"Query – {E}", "copy"),
+        (E, "Termin to 7/11/2016, godzina 19:45, sala 438, a egzaminuje dr hab. Abc.", "wrong_language"),
         (E, "The form is taken by Dr Q.\n- Room 12, Abc building\n- Tutor: Ms Q", None),
         (E, "The form is taken by Dr Q. More: https://x.example/abc", None),
         (E, "The form is taken by Dr Q. (Abcdef)", None),
