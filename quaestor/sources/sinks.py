@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import base_name, facts_name
-from quaestor.operators.relational import last_per_key
 from quaestor.sources.pages import text_files
 
 
@@ -21,11 +20,12 @@ def write_processed(files: DataFrame, path: str) -> None:
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """``(file, facts ARRAY<STRUCT<source, fact>>)`` from ``(file, chunk_no, pos, source, fact)``: one row per input file in order, named after it.
+    """``(file, chunk_no, pos, source, fact)`` as rows, named after their input file; of inputs with one name the last is taken.
 
-    Files without facts have no row, and none of an earlier run stays.
+    Rows and not arrays, so one huge file is many rows.  Files without facts have none, and nothing of
+    an earlier run stays.
     """
-    items = F.sort_array(F.collect_list(F.struct("chunk_no", "pos", "source", "fact")))
-    per = facts.groupBy("file").agg(F.transform(items, lambda x: F.struct(x["source"].alias("source"), x["fact"].alias("fact"))).alias("facts"))
-    named = per.select(facts_name(base_name(F.col("file"))).alias("name"), "file", "facts")
-    last_per_key(named, ["name"], ["file"]).select(F.col("name").alias("file"), "facts").write.mode("overwrite").parquet(path)
+    named = facts.withColumn("name", facts_name(base_name(F.col("file"))))
+    winners = named.groupBy("name").agg(F.max("file").alias("file"))
+    kept = named.join(winners, ["name", "file"], "left_semi")
+    kept.select(F.col("name").alias("file"), "chunk_no", "pos", "source", "fact").write.mode("overwrite").parquet(path)
