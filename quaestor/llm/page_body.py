@@ -87,7 +87,7 @@ _LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 _TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
 _LEAD = re.compile(r"^(?:[\s>#*•·–—+~-]|\d{1,3}[.)]\s)+")
 _TRAIL = " \t\r\n\f\v\u00a0*_#~"
-_HIDDEN = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
+_HIDDEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]+")
 _WORD = re.compile(r"[^\W_]")
 _CLOSED = re.compile(r"[.!?…][\"”»')\]*_]*$")
 _MENU = re.compile(r"\s[|·•»]\s")
@@ -112,8 +112,8 @@ class Page:
     heading: list[Line] = field(default_factory=list)
 
 
-def visible(raw: str) -> tuple[str, int]:
-    """The text of a line without markup, and how many of its characters are link text."""
+def visible(raw: str, hidden: bool = True) -> tuple[str, int]:
+    """The text of a line without markup and, if there are ``hidden`` characters, without those, and how many of its characters are link text."""
     s, linked = raw, 0
     if "](" in s:
         s = _IMAGE.sub(" ", s)
@@ -123,8 +123,8 @@ def visible(raw: str) -> tuple[str, int]:
         s = _TAG.sub(" ", s)
     s = _LEAD.sub("", s)
     s = s.rstrip(_TRAIL)
-    if not s.isascii():
-        s = s.translate(_HIDDEN)
+    if hidden:
+        s = _HIDDEN.sub("", s)
     return " ".join(s.split()), linked
 
 
@@ -160,8 +160,9 @@ def lines_of(text: str) -> list[Line]:
     """All lines of a page with their kinds; titles under a link heading are links."""
     out: list[Line] = []
     in_links = False
+    hidden = not text.isascii() and _HIDDEN.search(text) is not None
     for no, raw in enumerate(text.split("\n"), 1):
-        shown, linked = visible(raw)
+        shown, linked = visible(raw, hidden)
         kind = _kind(raw, shown, linked)
         if kind == "linkhead":
             in_links = True
