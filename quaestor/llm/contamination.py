@@ -162,6 +162,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ``distance`` is the smallest number of word edits, ``run`` the longest run of equal consecutive words.
     Parts of an item are read one after the other, null ones as empty.  Items of fewer than ``window``
     words cannot leak; null and empty texts hold nothing; no items or no documents give no rows.
+    Documents with the same id are searched one by one.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")

@@ -214,7 +214,11 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fracti
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fraction(3, 4)) -> DataFrame:
-    """``(a, b)``, a < b: all pairs of records, copies included, whose word sets have a Jaccard similarity of at least t."""
+    """``(a, b)``, a < b: all pairs of records, copies included, whose word sets have a Jaccard similarity of at least t.
+
+    Null ids, null texts and texts with fewer than ``MIN_WORDS`` distinct words are in no pair, and a
+    record is in none with itself; an empty table gives no pairs.
+    """
     pairs, classes = similar_sets(df, id_col, text_col, t)
     a_all = pairs.join(classes.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a", "left").select("b", F.coalesce("ia", "a").alias("a"))
     between = a_all.join(classes.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b", "left").select("a", F.coalesce("ib", "b").alias("b"))
@@ -223,7 +227,10 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fract
 
 
 def duplicate_groups(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fraction(3, 4)) -> DataFrame:
-    """``(id_col, group_id, group_links)``: each record that has a version of itself, its group, and how many different texts it is linked with."""
+    """``(id_col, group_id, group_links)``: each record that has a version of itself, its group, and how many different texts it is linked with.
+
+    ``group_id`` is the smallest id of the group; records without a version have no row.
+    """
     from quaestor.llm.components import components
 
     pairs, classes = similar_sets(df, id_col, text_col, t)

@@ -133,7 +133,8 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text
 
     Lines are equal if their letters, lower-cased and in order, are equal; lines without letters are
     never repeated.  Documents with null id, address or text have no rows.  An empty table gives no rows.
-    Repetitions inside one document count once; ids are taken to be unique.
+    Repetitions inside one document count once.  Rows with the same id count as one document, and each
+    of them has its lines in the result.
     """
     lines = cut(line_identifiers(df, id_col, text_col, url_col))
     heads = repeated_blocks(lines, min_docs).where("k = 1").select(F.col("head").alias("h"))

@@ -50,6 +50,13 @@ def test_edges(spark):
     assert site_lines.repeated_lines(spark.createDataFrame(rows[1:], schema)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = [(min(i, 3), "http://x.example/", "one\ntwo") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, text string")
+    assert site_lines.repeated_lines(df).count() == 0
+    assert site_lines.repeated_lines(df.union(df.selectExpr("page_id + 10", "url", "text"))).count() == 24
+
+
 def test_blocks(spark):
     rows = [(i, "http://x.example/", "one\ntwo\nthree\nown" + "abcdefghij"[i] + "\none\ntwo") for i in range(5)]
     df = spark.createDataFrame(rows, "page_id long, url string, text string")
