@@ -28,7 +28,7 @@ _TAG = re.compile(r"</?(?:b|i|u|s|em|strong|mark|span|a|sup|sub|code|small)\b[^<
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|blockquote|pre|hr)\b[^<>]*>", re.I)
 _TARGET = re.compile(r"\]\([^()\s]*\)")
 #: Letters with a stroke that no decomposition takes apart (fixed values), and what replaces them.
-_STROKES = str.maketrans("łđħŧøƀɨ", "ldhtobi")
+_STROKES = tuple(zip("łđħŧøƀɨ", "ldhtobi"))
 #: Combining marks and invisible characters, which neither count nor end a word.
 _UNSEEN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x3000) if unicodedata.category(chr(c)) in ("Mn", "Cf")) + r"\ufe00-\ufe0f\ufeff\U000e0000-\U000e01ef]")
 
@@ -45,7 +45,9 @@ def fold_words(text: str) -> list[str]:
         text = html.unescape(text)
     text = text.casefold()
     if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).translate(_STROKES)
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+        for letter, plain in _STROKES:
+            text = text.replace(letter, plain)
     return _WORD.findall(text)
 
 
@@ -82,7 +84,7 @@ class Matcher:
         import ahocorasick
 
         self.window, self.budget, self.items = window, budget, {}
-        size = window // (budget + 1)
+        self.size = size = window // (budget + 1)
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, words in items:
             if len(words) < window:
@@ -92,7 +94,7 @@ class Matcher:
                 pieces.setdefault(" " + " ".join(words[at : at + size]) + " ", []).append((item, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
-            self.automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, places)
         if pieces:
             self.automaton.make_automaton()
 
@@ -104,14 +106,11 @@ class Matcher:
         line = " " + " ".join(words) + " "
         found: dict[int, list[int]] = {}
         done = set()
-        starts = None
-        for end, (length, places) in self.automaton.iter(line):
-            if starts is None:
-                starts, at = {}, 0
-                for k, w in enumerate(words):
-                    starts[at] = k
-                    at += len(w) + 1
-            here = starts[end - length + 1]
+        last = spaces = 0
+        for end, places in self.automaton.iter(line):
+            spaces += line.count(" ", last, end + 1)
+            last = end + 1
+            here = spaces - self.size - 1  # the piece ends with the space behind its last word
             for item, at in places:
                 if (item, here - at) in done:
                     continue
@@ -126,14 +125,15 @@ class Matcher:
 
     def _verify(self, words: list[str], here: int, item: list[str], at: int) -> tuple[int, int] | None:
         """Distance and equal run around a piece hit, or None if no window with the piece is within the budget."""
-        w, e = self.window, self.budget
-        size = w // (e + 1)
+        w, e, size = self.window, self.budget, self.size
         low, high = max(0, at + size - w), min(len(item), at + w)
         around = words[max(0, here - (at - low) - e) : here + (high - at) + e]
         near = set(around)
-        if sum(x in near for x in item[low:high]) < w - e:
+        known = [x in near for x in item[low:high]]
+        if sum(known) < w - e:
             return None
-        distance = min((myers(item[s : s + w], around) for s in range(low, min(at, len(item) - w) + 1)), default=w)
+        windows = range(low, min(at, len(item) - w) + 1)  # those whose words occur often enough nearby
+        distance = min((myers(item[s : s + w], around) for s in windows if sum(known[s - low : s - low + w]) >= w - e), default=w)
         if distance > e:
             return None
         left, right = 0, size
