@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 
 #: Number of lines in the sliding window whose text lengths are summed.
 WINDOW = 3
-#: Window sum at which the main content surges, in characters.
-SURGE = 40
+#: Window sum from which a line with text of its own is main content, in characters: the length of the shortest notes.
+SURGE = 12
 #: A line with so many words in small letters is a sentence, even without a full stop.
 SENTENCE_WORDS = 5
 
@@ -184,13 +184,11 @@ def analyze(text: str) -> Page:
     n = len(lines)
     weight = [x.weight for x in lines]
     block = [sum(weight[i : i + WINDOW]) for i in range(n)]  # line-block distribution
-    surge = next((i for i in range(n) if block[i] >= SURGE or weight[i]), None)
     page = Page(lines)
-    if surge is None:
-        first = n
-    else:
-        first = next(i for i in range(surge, n) if weight[i])
-        dive = max(i for i in range(n) if weight[i])
+    # the distribution surges where a block that begins with text reaches the limit, and dives behind the last block that ends with text
+    first = next((i for i in range(n) if weight[i] and block[i] >= SURGE), n)
+    if first < n:
+        dive = next(i for i in range(n - 1, -1, -1) if weight[i] and block[max(0, i - WINDOW + 1)] >= SURGE)
         before = ""
         for x in lines[first : dive + 1]:
             if x.kind in ("body", "note") or (x.kind == "title" and _inner(x, before)):
