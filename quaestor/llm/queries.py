@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import answers, contamination, near_duplicates, packing, pages, site_lines, spans, split
 from quaestor.llm.common import table
-from quaestor.plans.cut import cut
-
-#: Similarity from which pages are versions of one another, where nothing else is prescribed.
-GROUP_SIMILARITY = Fraction(4, 5)
+from quaestor.plans.cut import cut, sized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +59,9 @@ def p5_fact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_page_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.duplicate_groups(table(spark, d, "scraped_pages"), "page_id", "text", GROUP_SIMILARITY)
+    web = table(spark, d, "scraped_pages")
+    proper = web.join(sized(cut(pages.residue_pages(web).select("page_id"))), "page_id", "left_anti")
+    return near_duplicates.duplicate_groups(proper, "page_id", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
