@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import ceil
 
@@ -226,15 +226,24 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fract
     return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same)
 
 
-def duplicate_groups(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fraction(3, 4)) -> DataFrame:
+def duplicate_groups(df: DataFrame, id_col: str, text_col: str, t: Fraction = Fraction(3, 4), left_out: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(id_col, group_id, group_links)``: each record that has a version of itself, its group, and how many different texts it is linked with.
 
-    ``group_id`` is the smallest id of the group; records without a version have no row.
+    ``group_id`` is the smallest id of the group; records without a version have no row.  ``left_out``
+    gets the ids of the records that have a version, ``(id)``, and returns those that take no part.
     """
     from quaestor.llm.components import components
 
     pairs, classes = similar_sets(df, id_col, text_col, t)
-    groups = components(pairs.union(classes.where("id <> rep").select("id", "rep")))
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    named = groups.join(classes, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    return named.join(ends, "rep", "left").select(F.col("id").alias(id_col), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).alias("group_links"))
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    members = cut(classes.union(ends.join(classes.select("id"), "id", "left_anti").select("id", F.col("id").alias("rep"))))
+    if left_out:
+        members = cut(members.join(cut(left_out(members.select("id"))), "id", "left_anti"))
+    centres = members.groupBy("rep").agg(F.min("id").alias("centre"))
+    a, b = centres.select(F.col("rep").alias("a"), F.col("centre").alias("x")), centres.select(F.col("rep").alias("b"), F.col("centre").alias("y"))
+    between = cut(pairs.join(a, "a").join(b, "b").select("x", "y"))
+    stars = cut(members.join(centres, "rep").select("id", "centre"))
+    groups = components(between.union(stars.where("id <> centre")).toDF("a", "b"))
+    links = between.select(F.col("x").alias("centre")).union(between.select("y")).groupBy("centre").agg(F.count(F.lit(1)).alias("links"))
+    named = groups.join(stars, "id").join(links, "centre", "left")
+    return named.select(F.col("id").alias(id_col), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).alias("group_links"))

@@ -60,8 +60,12 @@ def p5_fact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_page_groups(spark: SparkSession, d: str) -> DataFrame:
     web = table(spark, d, "scraped_pages")
-    proper = web.join(sized(cut(pages.residue_pages(web).select("page_id"))), "page_id", "left_anti")
-    return near_duplicates.duplicate_groups(proper, "page_id", "text")
+
+    def residue(ids: DataFrame) -> DataFrame:
+        some = web.join(sized(cut(ids.withColumnRenamed("id", "page_id"))), "page_id", "left_semi")
+        return pages.residue_pages(some).select(F.col("page_id").alias("id"))
+
+    return near_duplicates.duplicate_groups(web, "page_id", "text", left_out=residue)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
