@@ -8,7 +8,8 @@
 3. Edges that follow each other in the texts without a branch are compacted into paths by pointer
    doubling, one join per doubling, so that a passage is one path and not dozens of edges.
 4. Texts on the same path are candidates.  Their source coordinates are extended, character by
-   character, in both directions, and only spans that prove long enough are kept.
+   character, in both directions, from every shared edge that no span on its diagonal covers yet, and
+   only spans that prove long enough are kept.
 
 Equal texts are represented by the one with the smallest id until the end.
 """
@@ -134,14 +135,17 @@ def text_classes(texts: DataFrame) -> DataFrame:
 
 
 def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extend each candidate's coordinates to the longest common span around them."""
+    """Extend each candidate's coordinates to the longest common spans around them; coordinates inside a span are not extended again."""
     for batch in batches:
         out = []
-        a, b, pa_, pb, ta, tb = (c.to_pylist() for c in batch.columns)
-        for row in zip(a, b, pa_, pb, ta, tb):
-            start, end = common_span(row[4], row[2], row[5], row[3])
-            if end - start >= MIN_SPAN:
-                out.append((row[0], row[1], start, row[3] + start - row[2], end - start))
+        for a, b, diagonal, positions, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
+            end = 0
+            for i in sorted(positions):
+                if i < end:
+                    continue
+                start, end = common_span(ta, i, tb, i - diagonal)
+                if end - start >= MIN_SPAN:
+                    out.append((a, b, start, start - diagonal, end - start))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["a", "b", "start_a", "start_b", "length"])
 
 
@@ -197,7 +201,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``(spans, classes)``: proven spans ``(a, b, start_a, start_b, length)`` between different texts, a < b, and the classes of equal texts.
 
     Null ids, null texts and texts shorter than ``MIN_SPAN`` take no part.  ``spans`` has a row for each
-    diagonal on which two texts agree; positions and lengths are characters.
+    span, several of them where two texts agree more than once on a diagonal; positions and lengths are characters.
     """
     texts, classes, spots = repeated_edges(df, id_col, text_col)
     pairs = _pairs(spots.join(compact(spots), "edge"))
@@ -205,20 +209,20 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     needed = cut(texts.join(sized(used), "id", "left_semi"))
     left = needed.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = needed.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    proven = pairs.join(left, "a").join(right, "b").select("a", "b", "pos_a", "pos_b", "ta", "tb")
+    proven = pairs.join(left, "a").join(right, "b").select("a", "b", "diagonal", "at", "ta", "tb")
     spans = proven.mapInArrow(_prove, "a long, b long, start_a int, start_b int, length int").distinct()
     return cut(spans), classes
 
 
 def _pairs(spots: DataFrame) -> DataFrame:
-    """Candidate coordinates ``(a, b, pos_a, pos_b)``: pairs of texts on the same path, one row per diagonal on which they share an edge."""
+    """Candidate coordinates ``(a, b, diagonal, at)``: pairs of texts on the same path, one row per diagonal ``pos_a - pos_b``, with all places in a at which they share an edge on it."""
     on = spots.groupBy("path", "id", "edge").agg(F.collect_list("pos").alias("at")).groupBy("path", "id").agg(F.map_from_entries(F.collect_list(F.struct("edge", "at"))).alias("on"))
     x = on.select("path", F.col("id").alias("a"), F.col("on").alias("on_a"))
     y = on.select("path", F.col("id").alias("b"), F.col("on").alias("on_b"))
     both = x.join(y, "path").where("a < b")
     common = both.select("a", "b", "on_a", "on_b", F.explode(F.array_intersect(F.map_keys("on_a"), F.map_keys("on_b"))).alias("edge"))
     placed = common.select("a", "b", F.explode(F.element_at("on_a", F.col("edge"))).alias("pos_a"), F.element_at("on_b", F.col("edge")).alias("at_b")).select("a", "b", "pos_a", F.explode("at_b").alias("pos_b"))
-    return cut(placed.groupBy("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("diagonal")).agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).drop("diagonal"))
+    return cut(placed.groupBy("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("diagonal")).agg(F.collect_list("pos_a").alias("at")))
 
 
 def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

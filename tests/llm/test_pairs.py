@@ -114,6 +114,22 @@ def test_shared_spans_against_brute_force(spark):
     assert spans.sharing_pairs(df.limit(0)).collect() == []
 
 
+def test_long_span_behind_a_short_one_on_the_same_diagonal(spark):
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for k in range(25):  # spans of 150 to 299 characters, each followed by another character, then 300 or more; the last pairs have no long one
+        parts = [make(rng.randint(150, 299)) for _ in range(rng.randint(1, 3))] + [make(rng.randint(300, 700) if k < 20 else 299)] + [make(rng.randint(150, 299))]
+        texts += ["0".join(parts), "1".join(parts)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs, _ = brute_spans(rows)
+    assert sorted(tuple(r) for r in spans.sharing_pairs(df).collect()) == pairs and len(pairs) == 20
+    twice = make(400) + "{}" + make(200) + "{}" + make(350)
+    found, _ = spans.shared_spans(spark.createDataFrame([(1, twice.format(0, 0)), (2, twice.format(1, 1))], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 0, 0, 400), (1, 2, 602, 602, 350)]
+
+
 def test_anchors_do_not_depend_on_where_a_text_is_cut():
     rng = random.Random(12)
     text = "".join(rng.choice("abcd ") for _ in range(5000))
