@@ -79,8 +79,20 @@ FILLER = re.compile(
     r"^(\w+)(?:\s+\1){2,}\b",
     re.I,
 )
-#: Longer lines are paragraphs and no messages.
+#: Longer lines are held against the patterns sentence by sentence.
 MAX_MESSAGE = 240
+#: What the further sentences of a long line speak of that begins as a message.
+NOTICE = re.compile(
+    r"java\s?script|s[ck]ript|skrypt|browser|przegl[aą]dar|cookie|ciastecz|serwer|server|administrator|webmaster|uprawnie|permission|authori[sz]|berechtig|dost[eę]p|access|zugriff|"
+    r"zalog|\blog(?:ged)?\s?in\b|sign\s+in|anmeld|eingeloggt|reload|refresh|od[sś]wie[zż]|neu\s+laden|again|ponownie|erneut|later|p[oó][zź]niej|sp[aä]ter|request|[zż][aą]dani|anfrage|"
+    r"error|b[lł][aą]d|b[lł][eę]d|fehler|time-?out|exception|stack|\burl\b|adres|address|captcha|robot|firewall|proxy|session|sesj|sitzung|maintenance|wartung|konserwac|technicz|"
+    r"unavailable|niedost[eę]pn|verf[uü]gbar|erreichbar|enabled?\b|disabled|w[lł][aą]cz|aktivier|\bpage\b|\bstron|\bseite|support|contact|kontakt",
+    re.I,
+)
+#: The same for a long line that begins as filler.
+UNWRITTEN = re.compile(r"\btext|\btekst|inhalt|content|tre[sś][cć]|\bedit|replace|zast[aą]p|ersetz|\bpage\b|\bstron|\bseite|soon|wkr[oó]tce|\bbald\b|folg(?:t|en)|click|klikn|klick|paragraph|akapit|absatz|placeholder|platzhalter", re.I)
+#: Frames of a stack trace.
+FRAME = re.compile(r"\bat\s+[\w.$<>/]+\s?\([^()\s]*:\d+\)|\bFile\s+\"[^\"]+\",\s+line\s+\d+|(?<!\S)\#\d+\s+(?:\S+\(\d+\)|\{main\})")
 #: Diagnostic tails of messages.
 TRACE = re.compile(r"^(?:trace|ref|id|request\s+id|incident|kod\s+b[lł][eę]du|error\s+code|fehlercode|vorgangsnummer|stack)\b[:\s]\s*[\w.-]+$", re.I)
 #: Frequent short words; a long line without any of them is no text in these languages.
@@ -91,11 +103,16 @@ STOPWORDS = frozenset(
 )
 #: Frequent words of the customary filler text.
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
+#: Frequent short words that Latin has too.
+ALSO_LATIN = frozenset("a at do in".split())
 # --- end of fixed values ----------------------------------------------------------------------------
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(STOPWORDS)) + r")(?![^\W_])")
 _LOREM = re.compile(r"\blorem\b.*\b(?:dolor|ipsum)\b", re.I)
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+#: Some word of each part of MESSAGE that may stand anywhere in a line; without one, looking at the beginning is enough.
+_INSIDE = ("wrong", "schief", "timed", "skrypt", "noscript", "javascript")
 _CODE_SPAN = re.compile(r"`[^`]*`|<(code|pre)\b[^>]*>.*?</\1>", re.I)
 
 
@@ -136,6 +153,43 @@ def _line_class(x: Line) -> str:
     return "filler" if is_latin_filler(x.text) else "text"
 
 
+def _begins_lorem(text: str) -> bool:
+    return is_latin_filler(text) or (_LOREM.match(text) is not None and FILLER.match(text) is not None)
+
+
+def _long_line(text: str) -> dict[str, int]:
+    """Characters of a long line by class.
+
+    Each sentence goes by itself, so that a paragraph which merely mentions a message stays text.  If the
+    line begins as a message or filler, sentences that speak of the same count too; behind a sentence of
+    lorem ipsum, all up to the first with a frequent word of the known languages.
+    """
+    count = {"message": 0, "filler": 0, "text": 0}
+    if is_latin_filler(text):
+        count["filler"] = len(text)
+        return count
+    low = text.lower()
+    inside, some = any(w in low for w in _INSIDE), "lorem" in low
+    frames = ("(" in text or 'File "' in text) and len(FRAME.findall(text)) > 1
+    begun, latin = "", False
+    for k, s in enumerate(_SENTENCE.split(text)):
+        latin = some and (_begins_lorem(s) or (latin and not any(w in STOPWORDS and w not in ALSO_LATIN for w in _WORDS.findall(s.lower()))))
+        if latin:
+            what = "filler"
+        elif (MESSAGE.search(s) if inside else MESSAGE.match(s)) or (frames and FRAME.search(s)):
+            what = "message"
+        elif FILLER.match(s):
+            what = "filler"
+        elif (begun == "message" and NOTICE.search(s)) or (begun == "filler" and UNWRITTEN.search(s)):
+            what = begun
+        else:
+            what = "text"
+        if not k and not latin:
+            begun = what
+        count[what] += len(s)
+    return count
+
+
 def residue_kind(page: Page) -> str | None:
     """``placeholder``, ``message`` or ``filler`` for a page to be excluded, None for proper content.
 
@@ -160,11 +214,12 @@ def residue_kind(page: Page) -> str | None:
             continue
         if len(x.text) <= MAX_MESSAGE:
             short.append(x)
-        elif is_latin_filler(x.text):
-            found["filler"] += len(x.text)
-        elif x.no in body:
-            other += len(x.text)
-    if other > found["filler"] + sum(len(x.text) for x in short):
+        else:
+            count = _long_line(x.text)
+            found["message"] += count["message"]
+            found["filler"] += count["filler"]
+            other += count["text"] if x.no in body else 0
+    if other > found["message"] + found["filler"] + sum(len(x.text) for x in short):
         return None  # whatever the short lines are, paragraphs outweigh them
     for x in short:
         what = _line_class(x)

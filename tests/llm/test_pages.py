@@ -68,3 +68,31 @@ def test_residue(spark):
     assert residue.residue_of(page("```", "{{name}}", "```", SENTENCE)) is None
     df = spark.createDataFrame([(1, page("Room: {{room}}"), 5), (2, page(SENTENCE), 5), (3, None, 5)], "page_id long, text string, kind int")
     assert [tuple(r) for r in pages.residue_pages(df).collect()] == [(1, "placeholder")]
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+def test_residue_in_one_long_line():
+    cases = {
+        "filler": [LOREM, "Opis: " + LOREM, "Your text goes here. Click here to edit this paragraph and to replace it with the text of the class. You may add further paragraphs, and you may move the text up and down as you like. The content of this page is shown to all visitors as soon as you save it, so write the text first."],
+        "message": [
+            "Please enable JavaScript in your browser to view the timetable of the Abc class. The page loads its content by scripts, and without them nothing can be shown here. If your browser blocks scripts, allow them for this address and reload the page. Contact the administrator if this message stays.",
+            "Brak dostępu do strony Abc. Nie masz uprawnień, aby zobaczyć tę stronę, albo Twoja sesja wygasła po dłuższym czasie bez żadnej czynności. Zaloguj się ponownie lub zgłoś się do administratora serwisu, podając adres tej strony oraz godzinę, o której pojawił się błąd, i nazwę używanej przeglądarki.",
+            "Fatal error: Uncaught Exception: no connection in /srv/abc/plan.php:12 Stack trace: " + " ".join(f"#{k} /srv/abc/lib/part{k}.php({k}): load('plan', 'abc')" for k in range(6)) + " #6 {main} thrown in /srv/abc/plan.php on line 12",
+            "java.lang.IllegalStateException: no plan for Abc " + " ".join(f"at org.abc.plan.Step{k}.run(Step{k}.java:{k + 10})" for k in range(8)),
+        ],
+        None: [
+            SENTENCE * 4,
+            "Lorem ipsum dolor sit amet is how the customary filler begins. " + SENTENCE + " It is taken from a work by Cicero, and the class reads the passage in the second week. " + SENTENCE,
+            "Access denied is what the task server answers to group Y. " + " ".join([SENTENCE] * 4),
+            " ".join([SENTENCE] * 3) + " If something went wrong in the Abc sample, write to Mr X, and please do so in time. " + SENTENCE,
+        ],
+    }
+    for kind, bodies in cases.items():
+        for body in bodies:
+            assert len(body) > residue.MAX_MESSAGE and residue.residue_of(page(body)) == kind, body
+    assert residue.residue_of(page(" ".join([SENTENCE] * 8), LOREM)) is None
