@@ -105,26 +105,26 @@ class Matcher:
         words = fold_words(text)
         line = " " + " ".join(words) + " "
         found: dict[int, list[int]] = {}
-        done = set()
+        done: dict[tuple[int, int], int] = {}  # where the last long run on a diagonal ends
         last = spaces = 0
         for end, places in self.automaton.iter(line):
             spaces += line.count(" ", last, end + 1)
             last = end + 1
             here = spaces - self.size - 1  # the piece ends with the space behind its last word
             for item, at in places:
-                if (item, here - at) in done:
+                if here + self.size <= done.get((item, here - at), 0):
                     continue
                 best = self._verify(words, here, self.items[item], at)
                 if best is None:
                     continue
                 if best[1] >= self.window:
-                    done.add((item, here - at))
+                    done[item, here - at] = best[2]
                 old = found.setdefault(item, [best[0], best[1]])
                 old[0], old[1] = min(old[0], best[0]), max(old[1], best[1])
         return [(item, d, run) for item, (d, run) in found.items()]
 
-    def _verify(self, words: list[str], here: int, item: list[str], at: int) -> tuple[int, int] | None:
-        """Distance and equal run around a piece hit, or None if no window with the piece is within the budget."""
+    def _verify(self, words: list[str], here: int, item: list[str], at: int) -> tuple[int, int, int] | None:
+        """Distance, equal run and its end around a piece hit, or None if no window with the piece is within the budget."""
         w, e, size = self.window, self.budget, self.size
         low, high = max(0, at + size - w), min(len(item), at + w)
         around = words[max(0, here - (at - low) - e) : here + (high - at) + e]
@@ -141,7 +141,7 @@ class Matcher:
             left += 1
         while at + right < len(item) and here + right < len(words) and item[at + right] == words[here + right]:
             right += 1
-        return distance, left + right
+        return distance, left + right, here + right
 
 
 def _blocks(items: Iterable[tuple[int, list[str]]], most: int) -> Iterator[list[tuple[int, list[str]]]]:

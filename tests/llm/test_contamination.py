@@ -56,6 +56,15 @@ def test_leaks_against_brute_force(spark):
     assert leaks(frame.limit(0), tests).collect() == leaks(frame, tests.limit(0)).collect() == []
 
 
+def test_longest_run_behind_a_shorter_one_on_the_same_diagonal():
+    item = [f"w{k}" for k in range(60)]
+    matcher = Matcher([(1, item)], 12, 1)
+    for at, longest in ((12, 47), (47, 47), (25, 34), (11, 48)):
+        text = item[:at] + ["other"] + item[at + 1 :]
+        assert matcher.leaks(" ".join(["x", *text, "y"])) == [(1, 0, longest)]
+    assert matcher.leaks(" ".join(item[:12] + ["other"] + item[13:53] + ["z"] + item[54:])) == [(1, 0, 40)]
+
+
 def test_blocks_lose_nothing():
     items = [(k, ["w"] * k) for k in range(10)]
     blocks = list(_blocks(iter(items), 12))
