@@ -27,9 +27,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, topk_batch(spark, d))
+
+
+def _texts(spark: SparkSession, d: str, near: DataFrame) -> DataFrame:
     """For every query vector, the texts of the documents with the ids of its hits (a convention of the fixture)."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.coalesce("source", F.lit("Unknown")).alias("source_url"))
-    return topk_batch(spark, d).join(docs, "vec_id", "left").select("query_id", "rank", "text", "source_url")
+    return near.join(docs, "vec_id", "left").select("query_id", "rank", "text", "source_url")
 
 
 # scans, projections and filters
@@ -253,11 +257,21 @@ def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "answer", F.array_join("sources", "|").alias("sources"))
 
 
+def answer_chat(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flow over query texts: the stated chat queries, those with an id divisible by 50, are embedded, searched among all vectors and answered from their hits."""
+    asked, _ = valid_queries(_t(spark, d, "chat_queries").where("query_id % 50 = 0").select("query_id", "query", "field_of_study", "semester"))
+    asked = asked.dropDuplicates(["query_id"])
+    vectors = asked.select("query_id", embed.embed_column(F.col("query")).alias("embedding"))
+    near = retrieve.top_k_batch(vectors, _t(spark, d, "embeddings").select("vec_id", "embedding"), _DEFAULTS.top_k, "query_id", "vec_id")
+    out = prompt.respond(asked, _texts(spark, d, near), _NO_HIT, _APOLOGY)
+    return out.select("query_id", "answer", F.array_join("sources", "|").alias("sources"))
+
+
 _NAMES = """
     topk_single topk_batch topk_cells trim_head trim_foot trim_both safe_name page_header page_files crawl_limit page_links chunk_fixed passthrough_fact
     nonblank_paragraphs truthy_facts facts_name code_fence json_field_default source_default table_markdown config_versions last_wins
     sidecar_source union_folders assign_ids write_batches collection_counts prompt_context prompt_full student_clause query_rejects
-    sources_ranked sources_distinct no_hit_answer ui_format chat_history hash_embed facts_extractive answer_extractive
+    sources_ranked sources_distinct no_hit_answer ui_format chat_history hash_embed facts_extractive answer_extractive answer_chat
 """.split()
 
 

@@ -36,3 +36,22 @@ def test_top_k_keeps_k_rows_per_partition(spark):
 def test_trimming_needs_no_shuffle(spark):
     for name in ("trim_both", "safe_name", "page_header", "chunk_fixed", "passthrough_fact", "ui_format", "student_clause"):
         assert "Exchange" not in plan(catalog.queries()[name](spark, DATA))
+
+
+def test_chat_queries_are_answered_from_their_own_hits(spark):
+    import numpy as np
+
+    from quaestor.operators.embed import HashEmbedder
+
+    data = DATA.replace("sf0.001", "sf0.01")  # the smaller one has no stated queries
+    read = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
+    index = [(r["vec_id"], np.array(r["embedding"], float)) for r in read("embeddings").collect()]
+    sources = {r["doc_id"]: r["source"] or "Unknown" for r in read("documents").collect()}
+    asked = {r["query_id"]: r["query"] for r in read("chat_queries").where("query_id % 50 = 0 and query <> ''").collect()}
+    got = {r["query_id"]: r for r in catalog.queries()["answer_chat"](spark, data).collect()}
+    assert set(got) == set(asked) and len(asked) > 1
+    for i, text in asked.items():
+        v = HashEmbedder().embed([text])[0].astype(np.float32).astype(float)
+        near = sorted((-round(float(x @ v / np.linalg.norm(x) / np.linalg.norm(v)), 6), n) for n, x in index)[:5]
+        assert got[i]["sources"] == "|".join(sources[n] for _, n in near if n in sources)  # a hit may have no document
+    assert any(r["sources"] and r["answer"] for r in got.values())
