@@ -5,11 +5,14 @@
    window only, so texts with a span of at least ``WINDOW + K - 1`` = 300 characters in common have at
    least one sampled edge in common, inside that span: none is missed.
 2. Edges found in one text only are dropped; what is left is the repeated part of the graph.
-3. Edges that follow each other in the texts without a branch are compacted into paths by pointer
-   doubling, one join per doubling, so that a passage is one path and not dozens of edges.
-4. Texts on the same path are candidates.  Their source coordinates are extended, character by
-   character, in both directions, from every shared edge that no span on its diagonal covers yet, and
-   only spans that prove long enough are kept.
+3. Nonbranching paths are compacted to their heads, the edges that texts reach from different edges, at
+   different distances or from text of their own.  Where two texts begin to agree, some head lies within
+   the first 300 characters that they share: go back from any edge of these while both texts come from the
+   same one; the last such edge is reached from different ones.
+4. Source coordinates prove the spans: the windows of 300 characters around each head are compared by hash
+   and first character.  Texts that hold the same window behind *different* characters begin to agree
+   there, so each common span of two texts shows once, at its start, however long it is and however many
+   texts hold it.  No pair is made before that, and no text is joined with another.
 
 Equal texts are represented by the one with the smallest id until the end.
 """
@@ -103,28 +106,16 @@ def graph_edges(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(_edges, "edge long, id long, ord int, pos int")
 
 
-def compact(spots: DataFrame, rounds: int = 40) -> DataFrame:
-    """``(edge, path)`` for the repeated edges at ``spots (edge, id, ord)``: the first edge of the nonbranching path each lies on.
+def path_heads(spots: DataFrame) -> DataFrame:
+    """``(edge)``: heads of the nonbranching paths of the repeated edges at ``spots (edge, id, ord, pos)``.
 
-    An edge continues the one before it if every text goes on from the one to the other.  Pointer
-    doubling: after r rounds an edge points 2**r edges back, or to the head of its path; stops as soon as
-    nothing moves.  On a circle every edge ends up at some edge of it.
+    An edge continues a path if all its occurrences follow the same edge at the same distance.
     """
     order = Window.partitionBy("id").orderBy("ord")
-    seen = spots.select("edge", F.when(F.lag("ord").over(order) == F.col("ord") - 1, F.lag("edge").over(order)).alias("before"))
-    steps = seen.where("before is not null").distinct()
-    one_in = steps.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("before")).where("n = 1").select("edge", "before")
-    one_out = steps.groupBy("before").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("before")
-    single = one_in.join(one_out, "before", "left_semi")
-    every = spots.select("edge").distinct()
-    back = cut(every.join(single, "edge", "left").select("edge", F.coalesce("before", "edge").alias("path")))
-    for _ in range(rounds):
-        up = back.select(F.col("edge").alias("path"), F.col("path").alias("further"))
-        moved = cut(back.join(up, "path").select("edge", F.col("further").alias("path"), (F.col("further") != F.col("path")).alias("moved")))
-        back = moved.select("edge", "path")
-        if not moved.where("moved").limit(1).count():
-            break
-    return back
+    step = F.xxhash64(F.lag("edge").over(order), F.col("pos") - F.lag("pos").over(order))
+    seen = spots.select("edge", F.when(F.lag("ord").over(order) == F.col("ord") - 1, step).alias("before"))
+    ways = seen.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("known"), F.min("before").alias("lo"), F.max("before").alias("hi"))
+    return ways.where("known < n or lo <> hi").select("edge")
 
 
 def text_classes(texts: DataFrame) -> DataFrame:
@@ -134,59 +125,6 @@ def text_classes(texts: DataFrame) -> DataFrame:
     return keyed.join(many, ["a", "b"]).select("id", "rep")
 
 
-def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extend each candidate's coordinates to the longest common spans around them; coordinates inside a span are not extended again."""
-    for batch in batches:
-        out = []
-        for a, b, diagonal, positions, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-            end = 0
-            for i in sorted(positions):
-                if i < end:
-                    continue
-                start, end = common_span(ta, i, tb, i - diagonal)
-                if end - start >= MIN_SPAN:
-                    out.append((a, b, start, start - diagonal, end - start))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["a", "b", "start_a", "start_b", "length"])
-
-
-def common_span(x: str, i: int, y: str, j: int) -> tuple[int, int]:
-    """The largest ``(start, end)`` in x around i whose characters equal those of y around j; empty if x[i] and y[j] differ."""
-    end = _common_prefix(x, i, y, j)
-    low, high = 0, min(i, j)
-    while low < high:  # how far back: equal up to low, tried in doubling steps
-        step = min(high - low, max(64, low))
-        if x[i - low - step : i - low] == y[j - low - step : j - low]:
-            low += step
-            continue
-        while step > 1:
-            half = step // 2
-            if x[i - low - half : i - low] == y[j - low - half : j - low]:
-                low += half
-                step -= half
-            else:
-                step = half
-        break
-    return i - low, i + end
-
-
-def _common_prefix(x: str, i: int, y: str, j: int) -> int:
-    done, most = 0, min(len(x) - i, len(y) - j)
-    while done < most:
-        step = min(most - done, max(64, done))
-        if x[i + done : i + done + step] == y[j + done : j + done + step]:
-            done += step
-            continue
-        while step > 1:
-            half = step // 2
-            if x[i + done : i + done + half] == y[j + done : j + done + half]:
-                done += half
-                step -= half
-            else:
-                step = half
-        break
-    return done
-
-
 def repeated_edges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(texts, classes, spots)``: the texts that are long enough, the classes of equal ones, and where sampled edges found in more than one text stand."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where((F.length("text") >= MIN_SPAN) & F.col("id").isNotNull())
@@ -197,32 +135,27 @@ def repeated_edges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return texts, classes, cut(edges.join(often, "edge"))
 
 
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(spans, classes)``: proven spans ``(a, b, start_a, start_b, length)`` between different texts, a < b, and the classes of equal texts.
+def span_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(spans, classes)``: ``(a, b, start_a, start_b)`` where different texts begin to agree for at least ``MIN_SPAN`` characters, and the classes of equal texts.
 
-    Null ids, null texts and texts shorter than ``MIN_SPAN`` take no part.  ``spans`` has a row for each
-    span, several of them where two texts agree more than once on a diagonal; positions and lengths are characters.
+    Null ids, null texts and texts shorter than ``MIN_SPAN`` take no part.  Starts are 0-based; where a
+    text repeats the window after the same character, its first place stands for all.
     """
     texts, classes, spots = repeated_edges(df, id_col, text_col)
-    pairs = _pairs(spots.join(compact(spots), "edge"))
-    used = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"))
-    needed = cut(texts.join(sized(used), "id", "left_semi"))
-    left = needed.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = needed.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    proven = pairs.join(left, "a").join(right, "b").select("a", "b", "diagonal", "at", "ta", "tb")
-    spans = proven.mapInArrow(_prove, "a long, b long, start_a int, start_b int, length int").distinct()
-    return cut(spans), classes
-
-
-def _pairs(spots: DataFrame) -> DataFrame:
-    """Candidate coordinates ``(a, b, diagonal, at)``: pairs of texts on the same path, one row per diagonal ``pos_a - pos_b``, with all places in a at which they share an edge on it."""
-    on = spots.groupBy("path", "id", "edge").agg(F.collect_list("pos").alias("at")).groupBy("path", "id").agg(F.map_from_entries(F.collect_list(F.struct("edge", "at"))).alias("on"))
-    x = on.select("path", F.col("id").alias("a"), F.col("on").alias("on_a"))
-    y = on.select("path", F.col("id").alias("b"), F.col("on").alias("on_b"))
-    both = x.join(y, "path").where("a < b")
-    common = both.select("a", "b", "on_a", "on_b", F.explode(F.array_intersect(F.map_keys("on_a"), F.map_keys("on_b"))).alias("edge"))
-    placed = common.select("a", "b", F.explode(F.element_at("on_a", F.col("edge"))).alias("pos_a"), F.element_at("on_b", F.col("edge")).alias("at_b")).select("a", "b", "pos_a", F.explode("at_b").alias("pos_b"))
-    return cut(placed.groupBy("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("diagonal")).agg(F.collect_list("pos_a").alias("at")))
+    places = spots.join(path_heads(spots), "edge", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))
+    windows = windows_around(texts, cut(places)).groupBy("h", "c", "prev", "id").agg(F.min("start").alias("start"))
+    windows = cut(windows)
+    ways = windows.groupBy("h", "c", "prev").agg(F.count(F.lit(1)).alias("n"))
+    met = ways.groupBy("h", "c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ways"), F.max_by("prev", "n").alias("most"), F.min("prev").alias("least"))
+    met = met.where(f"n > 1 and (ways > 1 or least = {_NOTHING})").select("h", "c", "most")
+    there = cut(windows.join(met, ["h", "c"]))
+    # behind the most frequent character nobody begins to agree with anybody: one side is the others
+    x = there.where(f"prev <> most or prev = {_NOTHING}").select("h", "c", F.col("prev").alias("p"), F.col("id").alias("x"), F.col("start").alias("at_x"))
+    y = there.select("h", "c", F.col("prev").alias("q"), F.col("id").alias("y"), F.col("start").alias("at_y"))
+    both = x.join(y, ["h", "c"]).where(f"x <> y and (p <> q or p = {_NOTHING})")
+    ahead = F.col("x") < F.col("y")
+    picked = [F.when(ahead, F.col(u)).otherwise(F.col(v)).alias(name) for u, v, name in (("x", "y", "a"), ("y", "x", "b"), ("at_x", "at_y", "start_a"), ("at_y", "at_x", "start_b"))]
+    return cut(both.select(*picked).distinct()), classes
 
 
 def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +164,7 @@ def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids and texts and texts that are too short are in no pair, and a record is in none with itself;
     an empty table gives no pairs.
     """
-    spans, classes = shared_spans(df, id_col, text_col)
+    spans, classes = span_starts(df, id_col, text_col)
     reps = spans.select("a", "b").distinct()
     a_all = reps.join(classes.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a", "left").select("b", F.coalesce("ia", "a").alias("a"))
     between = a_all.join(classes.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b", "left").select("a", F.coalesce("ib", "b").alias("b"))
@@ -239,14 +172,18 @@ def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same)
 
 
+#: Stands for the character before the start of a text; no two texts have it in common.
+_NOTHING = -1
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all spans of MIN_SPAN characters that hold a repeated edge, once per text, with where they begin."""
+    """Hashes of all spans of MIN_SPAN characters that hold one of the given edges, where they begin, with their first character and the one before."""
 
     def flush(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h", "id", "start", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h", "id", "start", "c", "prev"])
 
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for i, text, positions in zip(*(c.to_pylist() for c in batch.columns)):
             last = len(text) - MIN_SPAN
             marks = np.zeros(last + 2, np.int64)
@@ -258,15 +195,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _grow(len(codes) + 1)
             sums = np.r_[np.uint64(0), np.cumsum((codes + np.uint64(1)) * _powers[: len(codes)])]
             h = (sums[starts + MIN_SPAN] - sums[starts]) * _inverses[starts]
+            before = np.r_[np.int32(_NOTHING), codes.astype(np.int32)]
             out[0].append((h ^ (h >> np.uint64(31))).astype(np.int64)), out[1].append(np.full(len(h), i, np.int64))
-            out[2].append(starts.astype(np.int32)), out[3].append(codes[starts].astype(np.int32))
+            out[2].append(starts.astype(np.int32)), out[3].append(codes[starts].astype(np.int32)), out[4].append(before[starts])
             if sum(map(len, out[0])) > FLUSH_ROWS:
                 yield flush(out)
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
         if out[0]:
             yield flush(out)
 
 
+def windows_around(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """``(h, id, start, c, prev)`` of the windows of ``texts (id, text)`` around the edges at ``places (id, at)``."""
+    some = cut(texts.join(sized(places.select("id")), "id", "left_semi"))
+    return some.join(places, "id").select("id", "text", "at").mapInArrow(_windows, "h long, id long, start int, c int, prev int")
+
+
 def shared_characters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_chars, shared_chars)``: for each record with a shared span, how many of its characters are shared.
 
@@ -276,8 +220,7 @@ def shared_characters(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts, classes, spots = repeated_edges(df, id_col, text_col)
     places = cut(spots.groupBy("id").agg(F.collect_list("pos").alias("at")))
-    some = cut(texts.join(sized(places.select("id")), "id", "left_semi"))
-    windows = cut(some.join(places, "id").select("id", "text", "at").mapInArrow(_windows, "h long, id long, start int, c int"))
+    windows = cut(windows_around(texts, places).select("h", "id", "start", "c"))
     often = windows.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c")
     per = windows.join(often, ["h", "c"]).groupBy("id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     covered = F.aggregate(

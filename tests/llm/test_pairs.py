@@ -126,8 +126,25 @@ def test_long_span_behind_a_short_one_on_the_same_diagonal(spark):
     pairs, _ = brute_spans(rows)
     assert sorted(tuple(r) for r in spans.sharing_pairs(df).collect()) == pairs and len(pairs) == 20
     twice = make(400) + "{}" + make(200) + "{}" + make(350)
-    found, _ = spans.shared_spans(spark.createDataFrame([(1, twice.format(0, 0)), (2, twice.format(1, 1))], "doc_id long, text string"))
-    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 0, 0, 400), (1, 2, 602, 602, 350)]
+    found, _ = spans.span_starts(spark.createDataFrame([(1, twice.format(0, 0)), (2, "x" + twice.format(1, 1))], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 0, 1), (1, 2, 602, 603)]
+
+
+def test_a_passage_of_half_the_texts_makes_rows_in_proportion(spark):
+    rng = random.Random(17)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    licence = make(4000)
+    rows, windows = {}, {}
+    for n in (40, 80):
+        texts = [(i, make(50) + licence[rng.randrange(1500) : 4000 - rng.randrange(1500)] + make(50) if i % 2 else make(800)) for i in range(n)]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        found, _ = spans.span_starts(df)
+        rows[n] = sorted((r["a"], r["b"]) for r in found.collect())
+        long, _, spots = spans.repeated_edges(df, "doc_id", "text")
+        places = spots.join(spans.path_heads(spots), "edge", "left_semi").groupBy("id").agg({"pos": "collect_list"}).toDF("id", "at")
+        windows[n] = spans.windows_around(long, places).count()
+        assert rows[n] == list(itertools.combinations(range(1, n, 2), 2))  # each pair once
+    assert windows[80] < 3 * windows[40]
 
 
 def test_anchors_do_not_depend_on_where_a_text_is_cut():
@@ -138,5 +155,3 @@ def test_anchors_do_not_depend_on_where_a_text_is_cut():
         other, g = spans.anchors(text, step)
         assert other.tolist() == at.tolist() and g.tolist() == h.tolist()
     assert max(b - a for a, b in zip(at, at[1:])) <= spans.WINDOW
-    assert spans.common_span("xxabcdyy", 3, "zabcdw", 2) == (2, 6)
-    assert spans.common_span("abc", 0, "xbc", 0) == (0, 0)
