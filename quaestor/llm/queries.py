@@ -22,6 +22,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(table(spark, d, "scraped_pages"))
 
 
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.block_report(table(spark, d, "scraped_pages"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.defective_answers(table(spark, d, "chat_answers"), table(spark, d, "chat_queries")).select("answer_id", "defect")
 

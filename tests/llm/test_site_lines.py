@@ -33,12 +33,11 @@ def test_against_brute_force(spark, seed):
     gone = defaultdict(set)
     for i, n in got:
         gone[i].add(n)
-    for most in (0, 10**6):
-        clean = {r["page_id"]: r for r in site_lines.without_repeated_lines(df, broadcast_rows=most).collect()}
-        assert len(clean) == len(rows)
-        for i, _, text in rows:
-            want = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in gone[i])
-            assert clean[i]["text"] == want and clean[i]["removed"] == len(gone[i])
+    clean = {r["page_id"]: r for r in site_lines.without_repeated_lines(df).collect()}
+    assert len(clean) == len(rows)
+    for i, _, text in rows:
+        want = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in gone[i])
+        assert clean[i]["text"] == want and clean[i]["removed"] == len(gone[i])
 
 
 def test_edges(spark):
@@ -57,20 +56,55 @@ def test_repeated_rows_are_one_document(spark):
     assert site_lines.repeated_lines(df.union(df.selectExpr("page_id + 10", "url", "text"))).count() == 24
 
 
+def test_each_of_the_rows_with_one_id_loses_its_own_lines(spark):
+    rows = [(9, "http://x.example/", "shared\nmine"), (9, "http://x.example/", "other\nshared")] + [(i, "http://x.example/", f"{chr(97 + i)} only\nshared") for i in range(4)]
+    clean = site_lines.without_repeated_lines(spark.createDataFrame(rows, "page_id long, url string, text string")).collect()
+    assert sorted((r["text"], r["removed"]) for r in clean if r["page_id"] == 9) == [("mine", 1), ("other", 1)]
+
+
+def blocks_of(spark, texts):
+    df = spark.createDataFrame([(i, "http://x.example/", t) for i, t in enumerate(texts)], "page_id long, url string, text string")
+    return df, sorted((r["n_lines"], r["docs"]) for r in site_lines.block_report(df).collect())
+
+
 def test_blocks(spark):
-    rows = [(i, "http://x.example/", "one\ntwo\nthree\nown" + "abcdefghij"[i] + "\none\ntwo") for i in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, text string")
-    blocks = site_lines.repeated_blocks(site_lines.line_identifiers(df, "page_id", "text", "url"))
-    assert sorted((r["k"], r["docs"]) for r in blocks.collect()) == [(1, 5), (1, 5), (1, 5), (2, 5), (2, 5), (3, 5)]
+    df, found = blocks_of(spark, ["one\ntwo\nthree\nown" + "abcdefghij"[i] + "\none\ntwo" for i in range(5)])
+    assert found == [(2, 5), (3, 5)]
+    name = lambda k: "line " + chr(97 + k // 26) + chr(97 + k % 26)
+    long = [name(k) for k in range(50)]
+    _, found = blocks_of(spark, ["\n".join(["own" + "abcdef"[i], *long, "end" + "abcdef"[i]]) for i in range(6)])
+    assert found == [(50, 6)]  # one block, and not many short ones
+    # five documents go on where eight agree, and one more starts later and ends earlier
+    texts = ["\n".join(long[:20] + ["x" + "abcdefg"[i]]) for i in range(3)] + ["\n".join(long[:40] + ["y" + "abcdefg"[i]]) for i in range(5)] + ["\n".join(["z"] + long[10:20])]
+    _, found = blocks_of(spark, texts)
+    assert found == [(10, 9), (20, 8), (40, 5)]
+
+
+def test_only_whole_blocks_decide(spark, monkeypatch):
+    """Lines inside a block are deleted because the block is: without the blocks of more than one line, most of them stay."""
+    texts = ["one\ntwo\nthree\nown" + "abcde"[i] for i in range(5)]
+    df, _ = blocks_of(spark, texts)
+    assert site_lines.repeated_lines(df).count() == 15
+    whole = site_lines.repeated_blocks
+    monkeypatch.setattr(site_lines, "repeated_blocks", lambda *a: whole(*a).where("k = 1"))
+    assert site_lines.repeated_lines(df).count() == 0
 
 
-def test_suffixes_count_documents_once():
-    ids = np.array([1, 2, 1, 2, 3])
-    rows, seen = site_lines._suffixes(np.arange(5), ids)
-    assert rows[0, :5].tolist() == [1, 2, 1, 2, 3] and rows[4, :2].tolist() == [3, 0]
-    assert seen.tolist() == [0, 0, 2, 1, 0]
-    rows, _ = site_lines._suffixes(np.array([0, 1, 5]), np.array([1, 2, 3]))
-    assert rows[0, :3].tolist() == [1, 2, 0]
+@pytest.mark.parametrize("seed", range(3))
+def test_previous_factors_against_brute_force(seed):
+    rng = random.Random(seed)
+    for n in (0, 1, 2, 7, 30, 60):
+        s = [rng.randrange(1 + n // 6) for _ in range(n)]
+        best = []
+        for i in range(n):
+            most = 0
+            for j in range(i):
+                k = 0
+                while i + k < n and s[i + k] == s[j + k]:
+                    k += 1
+                most = max(most, k)
+            best.append(most)
+        assert site_lines.previous_factors(np.array(s, np.int64)).tolist() == best
 
 
 def test_sites(spark):
