@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.llm.languages import COMMON, language, other_than
+
 # --- fixed values --------------------------------------------------------------------------------
 #: What stands for "no value".
 NO_VALUE = frozenset("none null nil nan n/a na undefined void brak puste empty leer keine nichts tbd todo unknown nieznane unbekannt -".split())
@@ -23,21 +25,45 @@ LABELS = frozenset(
     "sources source źródła źródło quellen quelle answer odpowiedź antwort question pytanie frage query zapytanie anfrage q a p o f response reply references literatur bibliografia przypisy "
     "context kontekst user assistant asystent użytkownik".split()
 )
-#: Parts of sentences that decline to answer.
-REFUSALS = (
-    # Polish
-    "nie mogę odpowiedzieć", "nie mogę pomóc", "nie mogę udzielić", "nie mogę podać", "nie jestem w stanie", "muszę odmówić", "odmawiam", "nie wolno mi",
-    "nie udzielam", "nie mam dostępu", "nie mam informacji", "nie mam danych", "nie posiadam informacji", "nie posiadam danych", "wykracza poza", "kontekst nic o tym nie mówi",
-    "kontekst nie zawiera", "nic o tym nie mówi", "nie znam odpowiedzi", "nie potrafię odpowiedzieć", "nie potrafię pomóc", "brak informacji", "brak danych",
+#: Who refuses, how, and what: a refusal is one of each, in this order, with at most two words between the last two.
+_REFUSING = {
+    "en": (
+        "i|we",
+        "cannot|can not|can't|could not|couldn't|won't|will not|would rather not|may not|do not|don't|am not|'m not|are not|am unable|'m unable|are unable|unable|decline|refuse",
+        "answer|respond|reply|help|assist|provide|share|give|disclose|reveal|discuss|comment|tell|say|know|have access|have the|have any|have enough|able to|allowed to|permitted to|authori[sz]ed to|to answer|to help|to say",
+    ),
+    "pl": (
+        "nie",
+        "mogę|możemy|jestem w stanie|jesteśmy w stanie|potrafię|potrafimy|umiem|wolno mi|wolno nam|będę|udzielam|udzielamy|mam|mamy|posiadam|posiadamy|znam|znamy",
+        "odpowied|pom[oó]|udziel|poda|ujawn|przekaz|udostęp|powiedz|rozmawia|komentowa|dostęp|inform|danych|wiedzy|uprawnie|takich|odpowiedzi",
+    ),
+}
+#: Other ways to decline: with the verb at the end, of what is not there, or of what lies outside.
+_DECLINING = (
     # English
-    "i cannot answer", "i can't answer", "i can not answer", "cannot help", "can't help", "am unable to", "i'm unable to", "must decline", "have to decline", "i decline", "not allowed to",
-    "outside what i can", "beyond what i can", "outside my scope", "beyond my scope", "say nothing on", "says nothing on", "say nothing about", "do not have access", "don't have access",
-    "have no access", "do not have the", "don't have the", "lack the data", "lack the information", "i do not know", "i don't know", "no information", "cannot provide", "can't provide",
-    "cannot share", "can't share", "do not give out", "don't give out",
-    # German
-    "nicht beantworten", "kann ich nicht helfen", "nicht helfen", "antwort ablehnen", "muss ich ablehnen", "muss ablehnen", "fehlen mir", "darf ich", "außerhalb dessen", "außerhalb meines",
-    "kontext sagt dazu nichts", "sagt dazu nichts", "sagen dazu nichts", "nichts dazu", "dazu nichts", "keinen zugriff", "keine auskunft", "keine informationen", "weiß ich nicht", "nicht in der lage", "übersteigt",
-)
+    r"\b(?:i|we)\b.{0,12}\b(?:must|have to|need to|has to)\s+(?:decline|refuse)\b",
+    r"\b(?:outside|beyond|out of)\s+(?:of\s+)?(?:what\s+(?:i|we)\b|my\b|our\b|the\s+scope)",
+    r"\b(?:context|sources?|documents?|materials?|texts?)\b.{0,30}\b(?:(?:says?|contains?|mentions?|gives?|holds?)\s+(?:nothing|no)\b|(?:do(?:es)?\s+not|don't|doesn't)\s+(?:say|contain|mention|give|cover|answer))",
+    r"\b(?:i|we)\s+(?:have|hold|found|find)\s+no\s+(?:\w+\s+)?(?:access|information|data|details|answer|knowledge)\b|\bno\s+(?:information|data|details)\s+(?:is|are|was|were|on|about|regarding|concerning)\s+(?:this|that|it|available|found|given|the\s+question)\b",
+    r"\black(?:s|ing)?\s+the\s+(?:\w+\s+)?(?:data|information|details)\b",
+    # Polish
+    r"\bmusz(?:ę|ymy)\s+odmówić\b|\bodmawiam(?:y)?\b",
+    r"\bwykracza(?:ją)?\s+poza\s+(?:mój|moje|moją|nasz|nasze|zakres|to,?\s+co)",
+    r"\b(?:kontekst|źródła|źródło|dokument\w*|materiały)\b.{0,30}\b(?:nic\s+(?:\w+\s+)?(?:o\s+tym|na\s+ten\s+temat)|nie\s+(?:zawiera|mówi|wspomina|podaje|obejmuje))",
+    r"\bbrak\s+(?:\w+\s+)?(?:informacji|danych)\s+(?:na\s+ten\s+temat|o\s+tym|w\s+tej\s+sprawie)",
+    # German: the negation and the verb stand apart from the modal verb
+    r"\b(?:kann|darf|könnte|möchte|werde)\s+ich\b.{0,60}\b(?:nichts?|keine?n?)\b.{0,40}(?:beantwort|antwort|helf|auskunft|geb|mitteil|nenn|sag|teil|besprech|verrat|dien)",
+    r"\bich\s+(?:kann|darf|könnte|möchte|werde)\b.{0,60}\b(?:nichts?|keine?n?)\b.{0,40}(?:beantwort|antwort|helf|auskunft|geb|mitteil|nenn|sag|teil|besprech|verrat|dien)",
+    r"\b(?:muss|müssen)\b.{0,40}\bablehnen\b|\blehne\b.{0,40}\bab\b|\bfehlen\s+(?:mir|uns)\b|\baußerhalb\s+(?:dessen|meines|unseres)\b|\bübersteigt\s+(?:mein|unser|das,?\s+was)",
+    r"\b(?:kontext|quellen?|unterlagen|dokumente?)\b.{0,30}\b(?:nichts|keine)\b|\bhabe(?:n)?\s+(?:ich|wir)?\s*(?:\w+\s+)?keine?n?\s+(?:\w+\s+)?(?:zugriff|informationen|daten|auskunft|angaben)|\b(?:gebe|erteile)\s+(?:ich\s+)?(?:\w+\s+)?keine\b",
+    r"\bnicht\s+in\s+der\s+lage\b|\bweiß\s+ich\s+(?:\w+\s+)?nicht\b",
+)
+#: Parts of words, one of which each way to decline has: what the automaton looks for.
+_ANCHORS = (
+    "cannot can not can't could not couldn't won't will not rather not may not do not don't am not 'm not are not unable decline refuse outside beyond out of nothing no access no information no data no details "
+    "no answer no knowledge says no say no contain mention cover lack not say nie mog nie możem nie jest nie potraf nie umie nie woln nie będ nie udziel nie mam nie posiad nie zna odmówić odmawia wykracza kontekst źródł dokument "
+    "materiał brak nicht kein ablehnen lehne fehlen außerhalb übersteigt nichts"
+)
 #: Beginnings of sentences that go with a refusal and answer nothing.
 CLOSINGS = (
     "spróbuj", "proszę skontaktować", "proszę zwrócić", "proszę zapytać", "proszę spytać", "skontaktuj", "zapytaj", "zwróć się", "czy mogę", "czy w czymś", "chętnie pomogę", "dziękuję", "proszę o",
@@ -47,23 +73,6 @@ CLOSINGS = (
 )
 #: Turns that lead from a reservation to an answer.
 TURNS = re.compile(r"\b(?:ale|lecz|jednak|natomiast|but|still|however|yet|aber|jedoch|doch|dennoch|allerdings)\b[,:]?\s+(.*)", re.I)
-VOTES = {
-    "pl": frozenset(
-        "w z na do się jest są nie że o od przez dla po oraz za ze przy który która które ten ta jak jakie jaki jaka kiedy gdzie kto co czy ile tak "
-        "ma ten tym tego by ich jej jego został zostało składa należy złożyć odbędzie odbywają przyjmuje wymagane termin sali sala pokoju pokój godzinie godzina dnia kierunku przedmiot "
-        "przedmiotu egzamin stypendium wniosek formularz punktów opiekunem koła kole naukowym prowadzi znajdę podania warunki daje muszę szukam konsultacji konsultacje dwa złożony obejmuje próg wynosi kim rozmawiać trzeba dołączyć godzina sala egzaminuje gmachu kursu prosi wcześniejszy kontakt sprawach pisze osoby spotkania są wagę kończy zaliczeniem można otrzymać projekt zaliczono semestry kartę przebiegu studiów dołączając upływa".split()
-    ),
-    "en": frozenset(
-        "the of and to is for by on at with as be are it this that from or an a you your yes no when where who what which how many does do i can will must has have was were "
-        "exam room form credits course give find during office hours society grant apply conditions date set please found held handed together meets turn about planned used deadline group points covers looks after".split()
-    ),
-    "de": frozenset(
-        "der die das und ist von zu mit den dem des auf für bis ein eine einen es nach bei wird hat steht wann wo wer wie was welcher welchem welche im am um ja nein nicht sie er als "
-        "prüfung raum antrag frist stipendium punkte gehört findet statt sitzt haus leitet betreut formular nimmt an abzugeben sprechstunde tag geprüft berät fach".split()
-    ),
-}
-#: Letters that only one of the languages has.
-LETTERS = {"pl": frozenset("ąćęłńśźż"), "de": frozenset("äöüß")}
 #: Abbreviations that cannot end a statement.
 OPEN_ABBREVIATION = re.compile(
     r"(?:^|[\s(„\"'])(?:dr|dr\s+inż|dr\s+hab|inż|hab|prof|mgr|np|tzn|tzw|m\.in|ul|al|godz|str|poz|nr|ref|no|mr|mrs|ms|e\.g|i\.e|vs|z\.b|bzw|ca|str|herr|frau|dr\.-ing|doz|tel|zob|por)\.$", re.I
@@ -72,7 +81,7 @@ OPEN_ABBREVIATION = re.compile(
 OPEN_DATE = re.compile(r"\b(?:am|bis|vom|zum|ab|seit|den|der|do|od|dnia|by|on)\s+\d{1,2}\.$", re.I)
 # --- end of fixed values -----------------------------------------------------------------------------
 
-_INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, 0x180E], None)
+_INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\u180e]+")
 _CITE = re.compile(r"\[\s*S?\d+(?:\s*[,;]\s*S?\d+)*\s*\]", re.I)
 _SOURCES = re.compile(r"(?:^|\n)[\s*_#>]*(?:sources?|źródł[ao]|quellen?|references)\s*:\**[\s\S]*\Z", re.I)
 _WORD = re.compile(r"[^\W_]+")
@@ -130,42 +139,59 @@ class SuffixAutomaton:
         return out
 
 
+_REFUSAL = re.compile(
+    "|".join(
+        [rf"(?<!\w)(?:{who})(?:\s+(?:really|simply|just|currently|therefore|unfortunately|regrettably|sadly|also))?\s*(?:{how})(?:\s+\w+){{0,2}}?\s+(?:be\s+)?(?:{what})" for who, how, what in [_REFUSING["en"]]]
+        + [rf"(?<!\w)(?:{who})\s+(?:{how})(?:\s+\w+){{0,2}}?\s+(?:{what})" for who, how, what in [_REFUSING["pl"]]]
+        + list(_DECLINING)
+    )
+)
+
+
 @lru_cache(maxsize=1)
 def _refusal_automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        a.add_word(phrase, len(phrase))
+    for m in re.finditer(r"(?:(?:nie|no|do|am|are|may|can|could|will|rather|not|says|say|out|'m)\s+)?\S+", _ANCHORS):
+        a.add_word(m.group(0), len(m.group(0)))
     a.make_automaton()
     return a
 
 
-def _votes(words: list[str]) -> dict[str, float]:
-    votes = {lang: float(sum(w in known for w in words)) for lang, known in VOTES.items()}
-    for lang, letters in LETTERS.items():
-        votes[lang] += 0.75 * sum(not letters.isdisjoint(w) for w in words)
-    return votes
+def refuses(statement: str) -> re.Match | None:
+    """Where a statement in small letters declines to answer: the automaton finds the places worth looking at, the grammar decides."""
+    return _REFUSAL.search(statement) if next(_refusal_automaton().iter(statement), None) is not None else None
 
 
-def language(words: list[str], margin: float = 1.5) -> str | None:
-    """The language with the most votes, if it leads the next one clearly."""
-    ranked = sorted(_votes(words).items(), key=lambda x: -x[1])
-    return ranked[0][0] if ranked[0][1] >= 2 and ranked[0][1] >= ranked[1][1] + margin and ranked[0][1] >= 1.5 * ranked[1][1] else None
+def _visible(text: str) -> str:
+    return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
 def _plain(text: str) -> str:
-    return _CITE.sub(" ", _SOURCES.sub(" ", text.translate(_INVISIBLE)))
+    """A text without citations and the list of sources behind it."""
+    if ":" in text:
+        text = _SOURCES.sub(" ", text)
+    return _CITE.sub(" ", text) if "[" in text else text
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    words = _WORD.findall(_MARKUP.sub(" ", _CITE.sub(" ", answer.translate(_INVISIBLE))).lower())
+    if len(answer) > _MOST_EMPTY:
+        answer = _plain(answer)
+        if len(answer) > _MOST_EMPTY and sum(w not in LABELS for w in _WORD.findall(answer[:_MOST_EMPTY].lower())) > 3:
+            return False  # enough words at once
+    answer = _visible(answer)
+    words = _WORD.findall(_MARKUP.sub(" ", _CITE.sub(" ", answer)).lower())
     rest = _MARKUP.sub(" ", _plain(answer)).strip(" \t\r\n.,:;!?\"'„”“-–—()[]").lower()
     return not words or all(w in LABELS for w in words) or not rest or rest in NO_VALUE or all(w in LABELS for w in _WORD.findall(rest))
 
 
+#: Longer answers are looked at closely only if their beginning has hardly any words.
+_MOST_EMPTY = 200
+
+
 def is_copy(query: list[str], answer: list[str], copied: list[bool]) -> bool:
     """Nothing but the query: all words but labels are copied, and they cover most of the query."""
     rest = [w for w, c in zip(answer, copied) if not c]
@@ -174,31 +200,35 @@ def is_copy(query: list[str], answer: list[str], copied: list[bool]) -> bool:
 
 def is_refusal(statements: list[str]) -> bool:
     """Some statement refuses, and every other one only goes with a refusal."""
-    refuses = False
+    refused = False
     for s in statements:
         low = " ".join(s.lower().replace("’", "'").split())
         if not _WORD.search(low):
             continue
-        ends = [end for end, _ in _refusal_automaton().iter(low)]
-        if ends:
-            turn = TURNS.search(low, ends[0])
-            if turn and len(_WORD.findall(turn.group(1))) >= 3 and not any(True for _ in _refusal_automaton().iter(turn.group(1))):
+        found = refuses(low)
+        if found:
+            rest = low[found.end() :]
+            turn = TURNS.search(rest)
+            if turn and len(_WORD.findall(turn.group(1))) >= 3 and not refuses(turn.group(1)):
                 return False
-            if sum(any(ch.isdigit() for ch in w) for w in _WORD.findall(low)) and len(_WORD.findall(low)) > 16:
+            words = _WORD.findall(low)
+            if len(words) > 16 and any(any(ch.isdigit() for ch in w) for w in words):
                 return False
-            refuses = True
+            refused = True
         elif not low.lstrip("*_->#• ").startswith(CLOSINGS):
             return False
         elif any(ch.isdigit() for ch in low) and len(_WORD.findall(low)) > 12:
             return False
-    return refuses
+    return refused
 
 
 def is_truncated(answer: str, query: str = "") -> bool:
     """The last statement or list entry breaks off."""
-    text = answer.translate(_INVISIBLE).rstrip()
-    text = _SOURCES.sub("", text).rstrip()
-    text = re.sub(r"(?:\s*\[\s*S?\d+(?:\s*[,;]\s*S?\d+)*\s*\][.,;]?)+$", lambda m: m.group(0)[-1] if m.group(0)[-1] in ".,;" else "", text, flags=re.I).rstrip()
+    text = _visible(answer).rstrip()
+    if ":" in text:
+        text = _SOURCES.sub("", text).rstrip()
+    if text.endswith(("]", "].", "],", "];")):
+        text = re.sub(r"(?:\s*\[\s*S?\d+(?:\s*[,;]\s*S?\d+)*\s*\][.,;]?)+$", lambda m: m.group(0)[-1] if m.group(0)[-1] in ".,;" else "", text, flags=re.I).rstrip()
     bare = text.rstrip("*_` \t\r\n")
     if any(re.search(r"(?:^|\n)\s*(?:[-*•+–]|\d{1,3}[.)])$", x) for x in (text, bare)):
         return True  # a list entry that was never written
@@ -281,31 +311,47 @@ def defect(query: str | None, answer: str | None) -> str | None:
     """``empty``, ``copy``, ``refusal``, ``wrong_language``, ``truncated`` or None for a proper answer."""
     if is_empty(answer):
         return "empty"
-    plain = _MARKUP.sub(" ", _plain(answer))
+    plain = _MARKUP.sub(" ", _plain(_visible(answer)))
     words = _WORD.findall(plain.lower())
     asked = _WORD.findall((query or "").lower())
-    copied = SuffixAutomaton(asked).copied(words, min(3, max(1, len(asked)))) if asked else [False] * len(words)
-    if is_copy(asked, words, copied):
+    copied = _copied(asked, words)
+    if copied and is_copy(asked, words, copied):
         return "copy"
     own = plain
-    if asked and all(copied[: len(asked)]) and words[: len(asked)] == asked:  # the query stands in front
+    echoed = bool(asked) and words[: len(asked)] == asked
+    if echoed:  # the query stands in front
         own = _after(plain, len(asked))
-    statements = [s for line in own.split("\n") for s in _SENTENCE_END.split(line)]
-    if is_refusal(statements):
+    if is_refusal([s for line in own.split("\n") for s in _SENTENCE_END.split(line)]):
         return "refusal"
-    named = set(asked)
-    spoken = [w for w in _WORD.findall(re.sub(r"„[^”“\"]*[”“\"]|\"[^\"]*\"", " ", own).lower()) if w not in named or w in _COMMON]
-    if asked and words[: len(asked)] != asked:
-        spoken = [w for w, c in zip(words, copied) if not c]
-    there, here = language(asked, 0.5), language(spoken)
-    if there and here and there != here:
-        return "wrong_language"
+    there = language(asked) if asked else None
+    if there:
+        if echoed or not copied:
+            named = set(asked)
+            spoken = [w for w in _WORD.findall(_QUOTED.sub(" ", own) if '"' in own or "„" in own else own) if w.lower() not in named or w.lower() in COMMON]
+        else:
+            spoken = [w for w, c in zip(_WORD.findall(plain), copied) if not c]
+        if other_than(there, spoken):
+            return "wrong_language"
     if is_truncated(answer, query or ""):
         return "truncated"
     return None
 
 
-_COMMON = frozenset().union(*VOTES.values())
+_QUOTED = re.compile(r"„[^”“\"]*[”“\"]|\"[^\"]*\"")
+
+
+def _copied(asked: list[str], words: list[str]) -> list[bool]:
+    """Which words of an answer lie in a run copied from the query; empty if there is none.
+
+    The automaton is built only where the answer holds some such run, which a search for each of the query's shortest runs tells.
+    """
+    least = min(3, len(asked))
+    if not least or len(words) < least:
+        return []
+    line = " " + " ".join(words) + " "
+    if not any(" " + " ".join(asked[k : k + least]) + " " in line for k in range(len(asked) - least + 1)):
+        return []
+    return SuffixAutomaton(asked).copied(words, least)
 
 
 def _after(text: str, n: int) -> str:

@@ -49,6 +49,17 @@ D = "Wann ist die Prüfung in „Modale Logik”?"
         (Q, "dr inż. Abcdef", None),
         (Q, "Tak, 8/04/2017", None),
         (Q, "Formularz przyjmuje dr Abc. 👍", None),
+        (E, "There is no information desk on Sundays.", None),
+        (E, "Students are not allowed to vote twice in one ballot.", None),
+        (D, "Das darf ich jeden Tag von acht bis zwanzig Uhr.", None),
+        (E, "As per policy I won't be answering that.", "refusal"),
+        (E, "Sorry, we are unable to comment on this matter.", "refusal"),
+        (E, "I cannot help with that. The office is in room 5 and opens at nine.", None),
+        (Q, "Nie, w sobotę biuro nie podaje numerów.", None),
+        (E, "Le bureau est ouvert de neuf heures à midi.", "wrong_language"),
+        (E, "Está abierto hasta las cinco de la tarde.", "wrong_language"),
+        (E, "Tak, do piątku.", "wrong_language"),
+        (D, "Het kantoor is open van negen tot twaalf uur.", "wrong_language"),
         (None, "Formularz przyjmuje dr Abc.", None),
         ("", "Formularz przyjmuje", None),
         (Q, "Ala ma kota. " * 20_000, None),
