@@ -230,20 +230,21 @@ def is_truncated(answer: str, query: str = "") -> bool:
     if text.endswith(("]", "].", "],", "];")):
         text = re.sub(r"(?:\s*\[\s*S?\d+(?:\s*[,;]\s*S?\d+)*\s*\][.,;]?)+$", lambda m: m.group(0)[-1] if m.group(0)[-1] in ".,;" else "", text, flags=re.I).rstrip()
     bare = text.rstrip("*_` \t\r\n")
-    if any(re.search(r"(?:^|\n)\s*(?:[-*•+–]|\d{1,3}[.)])$", x) for x in (text, bare)):
+    if any(re.fullmatch(r"\s*(?:[-*•+–]|\d{1,3}[.)])", x[x.rfind("\n") + 1 :]) for x in (text, bare)):
         return True  # a list entry that was never written
     if not bare:
         return False
-    if re.search(r"(?:https?://|www\.)\S+$|\S+@\S+\.\w+$", bare):
+    tail = bare.rsplit(None, 1)[-1]
+    if re.search(r"(?:https?://|www\.)\S+$|\S+@\S+\.\w+$", tail):
         return False
-    if re.search(r"(?:[:;]-?[)D(]|\^\^)$", bare):
+    if re.search(r"(?:[:;]-?[)D(]|\^\^)$", tail):
         bare = re.sub(r"(?:[:;]-?[)D(]|\^\^)$", "", bare).rstrip()
         return _open_delimiter(bare)
     if _open_delimiter(bare):
         return True
     end = bare[-1]
     if end in ".!?…":
-        return bool(OPEN_ABBREVIATION.search(bare) or OPEN_DATE.search(bare))
+        return bool(OPEN_ABBREVIATION.search(bare[-40:]) or OPEN_DATE.search(bare[-40:]))  # patterns of the end alone
     if end in ",:;-–—/&+(„":
         return True
     if not end.isalnum():
@@ -268,11 +269,15 @@ def _last_statement(line: str) -> str:
     return line[at:]
 
 
+_DELIMITER = re.compile(r"[()\[\]{}„“”\"]")
+
+
 def _open_delimiter(text: str) -> bool:
     """An opening bracket or quotation mark is left on the stack, and not from a finished sentence long before."""
     stack: list[tuple[str, int]] = []
     pairs = {")": "(", "]": "[", "}": "{", "”": "„“", "“": "„"}
-    for k, ch in enumerate(text):
+    for m in _DELIMITER.finditer(text):
+        ch, k = m.group(0), m.start()
         if ch == "„" or ch in "([{":
             stack.append((ch, k))
         elif ch == "“" and not (stack and stack[-1][0] == "„"):
@@ -321,13 +326,14 @@ def defect(query: str | None, answer: str | None) -> str | None:
     echoed = bool(asked) and words[: len(asked)] == asked
     if echoed:  # the query stands in front
         own = _after(plain, len(asked))
-    if is_refusal([s for line in own.split("\n") for s in _SENTENCE_END.split(line)]):
+    if next(_refusal_automaton().iter(own.lower().replace("’", "'")), None) and is_refusal([s for line in own.split("\n") for s in _SENTENCE_END.split(line)]):
         return "refusal"
     there = language(asked) if asked else None
     if there:
         if echoed or not copied:
-            named = set(asked)
-            spoken = [w for w in _WORD.findall(_QUOTED.sub(" ", own) if '"' in own or "„" in own else own) if w.lower() not in named or w.lower() in COMMON]
+            named = set(asked) - COMMON
+            text = _QUOTED.sub(" ", own) if '"' in own or "„" in own else own
+            spoken = [w for w, low in zip(_WORD.findall(text), _WORD.findall(text.lower())) if low not in named]
         else:
             spoken = [w for w, c in zip(_WORD.findall(plain), copied) if not c]
         if other_than(there, spoken):

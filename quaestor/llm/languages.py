@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 
 # --- fixed values: function words (articles, pronouns, prepositions, conjunctions, auxiliaries, question words, common adverbs) ---
 STOPWORDS = {
@@ -63,16 +65,21 @@ _OF_LETTER = {letter: tuple(langs.split()) for letter, langs in LETTERS.items()}
 COMMON = frozenset(_OF_WORD)
 
 
+@lru_cache(maxsize=1 << 16)
+def _lettered(word: str) -> tuple[str, ...]:
+    """The languages that some letter of the word belongs to."""
+    return tuple({lang for ch in word for lang in _OF_LETTER.get(ch, ())})
+
+
 def votes(words: list[str]) -> dict[str, float]:
     """A vote for each stopword of a language, less for one that many languages have, and one for each word with letters of its own."""
     out: dict[str, float] = {}
-    for w in words:
-        langs = _OF_WORD.get(w, ())
+    for langs, n in Counter(map(_OF_WORD.get, words)).items():
+        for lang in langs or ():
+            out[lang] = out.get(lang, 0.0) + n / (0.85 + 0.15 * len(langs))
+    for langs, n in Counter(_lettered(w) for w in words if not w.isascii()).items():
         for lang in langs:
-            out[lang] = out.get(lang, 0.0) + 1 / (0.85 + 0.15 * len(langs))
-        if not w.isascii():
-            for lang in {lang for ch in w for lang in _OF_LETTER.get(ch, ())}:
-                out[lang] = out.get(lang, 0.0) + 1
+            out[lang] = out.get(lang, 0.0) + n
     return out
 
 
@@ -95,7 +102,8 @@ def other_than(lang: str, words: list[str], margin: float = 0.65) -> bool:
     In short texts each word has half a vote more for languages with its letter groups; words with a
     capital letter, which may be names from anywhere, have none.
     """
-    counted = votes([w.lower() for w in words if len(w) > 1 or w.islower() or w == "I"])  # other capitals alone are marks
+    kept = [w for w in words if len(w) > 1 or w.islower() or w == "I"]  # other capitals alone are marks
+    counted = votes(" ".join(kept).lower().split(" "))
     if len(words) <= FEW_WORDS:
         for w in words:
             if w.islower():
