@@ -1,9 +1,15 @@
 """Per-page analysis shared by the main-content and residue operators (pure Python, no Spark).
 
 ``analyze(text)`` works on one page at a time and looks only at that page, so that it can run inside
-any Arrow batch.  It strips markup, weighs each line, sums the weights over a sliding window of lines,
-takes the surge and dive points of that distribution as the limits of the main content and then sorts
-out, line by line, what does not belong to it.
+any Arrow batch.  It strips markup, weighs each line by the length of its text, whatever the text says,
+sums the weights over a sliding window of lines and takes the surge and dive points of that distribution
+as the limits of the main content, relative to how dense the page's text is:
+
+* outside the *outer* points (``OUTER``) nothing is main content;
+* between the outer and the *core* points (``CORE``) only lines that have the form of content are: table rows,
+  list entries, notes, long paragraphs, but no short loose sentences, whatever they say.
+
+What else does not belong to it is then sorted out line by line, by form and by known phrases.
 """
 
 from __future__ import annotations
@@ -13,8 +19,12 @@ from dataclasses import dataclass, field
 
 #: Number of lines in the sliding window whose text lengths are summed.
 WINDOW = 3
-#: Window sum from which a line with text of its own is main content, in characters: the length of the shortest notes.
-SURGE = 12
+#: Shares of the page's usual window sum (its mean, weighted by text) at which the distribution surges and dives.
+CORE, OUTER = 0.4, 0.1
+#: Characters that a line counts for at most, so that one endless line is not all there is.
+MAX_WEIGHT = 240
+#: A loose sentence shorter than this needs the core.
+SHORT = 90
 #: A line with so many words in small letters is a sentence, even without a full stop.
 SENTENCE_WORDS = 5
 
@@ -156,6 +166,16 @@ def _kind(raw: str, text: str, linked: int) -> str:
     return "title"
 
 
+def _weight(text: str, linked: int) -> int:
+    """Characters of a line's own text: no link texts, of a menu in one line only the longest entry."""
+    if linked:
+        if linked >= 0.6 * len(text):
+            return 0
+    elif _MENU.search(text):
+        text = max(_MENU.split(text), key=len)
+    return min(len(text) - linked, MAX_WEIGHT)
+
+
 def lines_of(text: str) -> list[Line]:
     """All lines of a page with their kinds; titles under a link heading are links."""
     out: list[Line] = []
@@ -170,7 +190,7 @@ def lines_of(text: str) -> list[Line]:
             kind = "link"
         elif kind not in ("link", "linkhead"):
             in_links = False
-        out.append(Line(no, raw, shown, kind, len(shown) if kind in ("body", "note") else 0, raw.lstrip(" \t>*").startswith("#")))
+        out.append(Line(no, raw, shown, kind, _weight(shown, linked), raw.lstrip(" \t>*").startswith("#")))
     return out
 
 
@@ -181,24 +201,56 @@ def analyze(text: str) -> Page:
     whole, in time linear in their length.
     """
     lines = lines_of(text)
-    n = len(lines)
-    weight = [x.weight for x in lines]
-    block = [sum(weight[i : i + WINDOW]) for i in range(n)]  # line-block distribution
     page = Page(lines)
-    # the distribution surges where a block that begins with text reaches the limit, and dives behind the last block that ends with text
-    first = next((i for i in range(n) if weight[i] and block[i] >= SURGE), n)
-    if first < n:
-        dive = next(i for i in range(n - 1, -1, -1) if weight[i] and block[max(0, i - WINDOW + 1)] >= SURGE)
-        before = ""
-        for x in lines[first : dive + 1]:
-            if x.kind in ("body", "note") or (x.kind == "title" and _inner(x, before)):
-                page.body.append(x)
-            if x.kind not in ("blank", "rule"):
-                before = x.kind
+    first, before = len(lines), ""
+    full = [i for i, x in enumerate(lines) if x.kind != "blank"]  # windows are of lines with something in them
+    (start, end), (core_start, core_end) = limits([lines[i].weight for i in full])
+    for at in range(start, end):
+        i = full[at]
+        x = lines[i]
+        inside = core_start <= at < core_end or not _loose(x)
+        if x.kind in ("body", "note") and inside:
+            page.body.append(x)
+            first = min(first, i)
+        elif x.kind == "title" and first < i and _inner(x, before):
+            page.body.append(x)
+        if x.kind != "rule":
+            before = x.kind
+    while page.body and page.body[-1].kind == "title":  # nothing follows that it could head
+        page.body.pop()
     page.heading = _heading(lines, first)
     return page
 
 
+def limits(weight: list[int], core: float = CORE, outer: float = OUTER) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The surge and dive points of the line-block distribution, as ranges of lines: the outer and the core one.
+
+    The distribution surges where a window that begins with text reaches the limit, and dives behind the
+    last window that ends with text and does.
+    """
+    n = len(weight)
+    block = [sum(weight[i : i + WINDOW]) for i in range(n)]
+    total = sum(weight)
+    usual = sum(w * b for w, b in zip(weight, block)) / total if total else 0
+
+    def between(share: float) -> tuple[int, int]:
+        limit = share * usual
+        surge = next((i for i in range(n) if weight[i] and block[i] >= limit), n)
+        dive = next((i for i in range(n - 1, -1, -1) if weight[i] and block[max(0, i - WINDOW + 1)] >= limit), -1)
+        return surge, dive + 1
+
+    return between(outer), between(core)
+
+
+#: Lines in the form of a table row, a list entry or a heading.
+_FORM = re.compile(r"^[\s>*_]*(?:\||#|[-•+–]\s|\*\s|\d{1,3}[.)]\s)")
+
+
+def _loose(x: Line) -> bool:
+    """A short sentence that stands by itself, not in the form of a table row, list entry or note."""
+    return x.kind == "body" and len(x.text) < SHORT and not _FORM.match(x.raw)
+
+
 def _inner(x: Line, before: str) -> bool:
     """A title between body lines is a subheading unless it follows a link."""
     return before not in ("link", "linkhead") or x.heading or bool(SUBHEAD.match(x.text))
