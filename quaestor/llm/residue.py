@@ -2,8 +2,10 @@
 
 Unfilled placeholders are found by one small grammar per delimiter; error messages, script notices and
 filler text by patterns.  What stands in code, in a formula or in a sentence that speaks *about*
-templates is discounted, and messages count only where they make up most of a page's content, so that
-a page that merely mentions an error is kept.
+templates is discounted.  Placeholders count by density: delimiters of one character, which proper text
+uses too, need a second placeholder on the page as a witness, and all of them a share of the words.
+Messages count only where they make up most of a page's content, so that a page that merely mentions an
+error is kept.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ PLACEHOLDER = re.compile(
     | (?<![\w\#&/])\#(?P<hash>[A-Za-z][A-Za-z0-9_.]*)\#(?![\w\#])
     | (?<![\w%])%(?P<percent>[A-Za-z][A-Za-z0-9_.]*)%(?![\w%])
     | <(?P<angle>{_NAME})>
+    | (?<![\w{{}}\\^_$\])"'])\{{(?P<brace>[A-Za-z_][\w.]*(?:\ [A-Za-z_][\w.]*){{0,2}})\}}(?![{{\w^_])
     """,
     re.X,
 )
 _HINT = re.compile(r"[{\[@<%#_]")
+_WEAK = ("square", "under", "hash", "percent", "angle", "brace")
+#: Placeholders per 100 words from which a page is a template: any, and a single one of a weak kind with a name like ``first_name`` or in a label.
+DENSITY, DENSITY_ALONE = 0.1, 0.5
 
 # --- fixed values --------------------------------------------------------------------------------
 #: Names in angle brackets that are markup and not placeholders.
@@ -63,6 +69,11 @@ MESSAGE = re.compile(
     | ^serwis\s+(?:chwilowo\s+|jest\s+)*niedost[eę]pny | ^strona\s+(?:chwilowo\s+)?niedost[eę]pna | ^trwaj[aą]\s+prace\s+(?:techniczne|konserwacyjne)
     | ^wartungsarbeiten:?\s.*\b(?:wieder\s+da|nicht\s+erreichbar)\b | ^der\s+dienst\s+.*nicht\s+(?:verf[uü]gbar|erreichbar) | ^(?:down\s+for|under|scheduled)\s+maintenance\b
     | ^(?:aby|żeby)\s+wy[sś]wietli[cć]\b.*javascript | ^w[lł][aą]cz\s+(?:obs[lł]ug[eę]\s+)?(?:javascript|skrypty) | ^(?:please\s+)?(?:enable|turn\s+on|activate)\s+(?:javascript|scripts)
+    | ^(?:this|the)\s+(?:content|page|site|service|resource|item|post|video|document)\s+(?:isn't|is\s+not|is\s+no\s+longer|is\s+(?:currently\s+|temporarily\s+)?un)\s?(?:available|accessible|reachable)
+    | ^(?:an?\s+|some\s+)?(?:unexpected\s+|unknown\s+|internal\s+)?error\s+(?:has\s+|have\s+)?(?:occurred|happened)\b | ^javascript\s+(?:must|has\s+to|needs\s+to|should)\s+be\s+(?:turned\s+on|enabled|activated|switched\s+on)
+    | ^(?:error:?\s+)?p[aá]gina\s+no\s+(?:encontrada|disponible) | ^no\s+(?:se\s+)?(?:ha\s+|pudimos\s+|hemos\s+)?(?:encontrad[oa]|encontrar|encuentra)\s+la\s+p[aá]gina | ^acceso\s+(?:denegado|restringido)
+    | ^(?:ha\s+ocurrido|se\s+ha\s+producido|se\s+produjo)\s+un\s+error | ^(?:habilite|active|activa|habilita)\s+javascript | ^(?:este|el)\s+(?:contenido|servicio|sitio)\s+(?:ya\s+)?no\s+est[aá]\s+disponible | ^javascript\s+(?:debe\s+estar|est[aá])\s
+    | ^page\s+(?:introuvable|non\s+trouv[eé]e) | ^acc[eè]s\s+(?:refus[eé]|interdit) | ^une\s+erreur\s+(?:inattendue\s+)?(?:est\s+survenue|s'est\s+produite) | ^(?:veuillez\s+)?active[rz]\s+javascript | ^ce\s+(?:contenu|service|site)\s+(?:n'est\s+pas|n'est\s+plus|est)\s+(?:in)?disponible
     | ^you\s+need\s+to\s+enable\s+javascript | ^bitte\s+aktivieren\s+sie\s+(?:javascript|skripte) | ^ohne\s+(?:skripte|javascript)\s+kann | ^(?:this|diese)\s+(?:site|page|app|seite|anwendung)\s.*(?:requires?|ben[oö]tigt|braucht)\s+(?:scripts|javascript|skripte)
     | ^ta\s+(?:aplikacja|strona)\b.*\bwymaga\s+(?:skrypt[oó]w|javascript) | \bblokuje\s+skrypty\b.*nie\s+mo[zż]e | \bnoscript\s+version\b | javascript\s+(?:is\s+(?:disabled|required)|ist\s+deaktiviert|jest\s+wy[lł][aą]czon)
     | ^(?:checking\s+your\s+browser|sprawdzamy,\s+czy\s+po[lł][aą]czenie|wir\s+pr[uü]fen\s+(?:ihren\s+browser|die\s+verbindung)|ihr\s+browser\s+(?:wird\s+gepr[uü]ft|blockiert))
@@ -116,19 +127,37 @@ _INSIDE = ("wrong", "schief", "timed", "skrypt", "noscript", "javascript")
 _CODE_SPAN = re.compile(r"`[^`]*`|<(code|pre)\b[^>]*>.*?</\1>", re.I)
 
 
-def placeholders(raw: str) -> int:
-    """How many unfilled placeholders a line holds; none in code spans or in sentences about templates."""
+def placeholders(raw: str) -> tuple[int, int, int]:
+    """How many unfilled placeholders a line holds: of strong delimiters, of weak ones, and how many of the latter have a name like ``first_name`` or stand in a mere label.
+
+    None in code spans or in sentences about templates.
+    """
     if not _HINT.search(raw):
-        return 0
+        return 0, 0, 0
     s = _CODE_SPAN.sub(" ", raw) if ("`" in raw or "<" in raw) else raw
-    spans = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(s) if (m.group("angle") or "").lower() not in HTML_NAMES]
-    n = 0
-    for a, b in spans:
+    strong = weak = shaped = 0
+    for m in PLACEHOLDER.finditer(s):
+        if (m.group("angle") or "").lower() in HTML_NAMES:
+            continue
+        a, b = m.span()
         start = max(s.rfind(". ", 0, a), s.rfind("! ", 0, a), s.rfind("? ", 0, a)) + 1
         end = s.find(". ", b)
-        if not ABOUT.search(s[start : end if end >= 0 else len(s)]):
-            n += 1
-    return n
+        if ABOUT.search(s[start : end if end >= 0 else len(s)]):
+            continue
+        name = next((m.group(k) for k in _WEAK if m.group(k)), None)
+        if name is None:
+            strong += 1
+        else:
+            weak += 1
+            shaped += "_" in name or "." in name or (len(name) > 2 and name.isupper()) or (s.count(" ") < 6 and not s.rstrip().endswith((".", "!", "?")))
+    return strong, weak, shaped
+
+
+def is_template(strong: int, weak: int, shaped: int, words: int) -> bool:
+    """Whether a page with so many placeholders among so many words was never filled in."""
+    if strong + weak >= 2 or strong:
+        return 100 * (strong + weak) >= DENSITY * words
+    return bool(shaped) and 100 * weak >= DENSITY_ALONE * words
 
 
 def is_latin_filler(text: str) -> bool:
@@ -193,14 +222,15 @@ def _long_line(text: str) -> dict[str, int]:
 def residue_kind(page: Page) -> str | None:
     """``placeholder``, ``message`` or ``filler`` for a page to be excluded, None for proper content.
 
-    Blank pages are no cases.  Placeholders count anywhere in heading and body; messages and filler only
-    where they make up at least half of the content below the heading.
+    Blank pages are no cases.  Placeholders count anywhere in heading and body, by their number among the
+    words there; messages and filler only where they make up at least half of the content below the heading.
     """
     first = page.heading[0].no if page.heading else 0
     body = {x.no for x in page.body}
     fenced = False
     found = {"message": 0, "filler": 0}
     other = 0
+    marks, inside = [0, 0, 0], False
     short: list[Line] = []
     for x in page.lines:
         if x.raw.startswith(("```", "~~~")):
@@ -208,8 +238,11 @@ def residue_kind(page: Page) -> str | None:
             continue
         if x.kind not in ("body", "note", "title", "rule", "furniture"):
             continue
-        if x.kind != "furniture" and not fenced and (x.no in body or x.no >= first) and placeholders(x.raw):
-            return "placeholder"
+        if x.kind != "furniture" and not fenced:
+            held = placeholders(x.raw)
+            if any(held):  # one in heading or body makes a case, any other one is a witness
+                marks = [a + b for a, b in zip(marks, held)]
+                inside = inside or x.no in body or x.no >= first
         if x.kind == "rule":
             continue
         if len(x.text) <= MAX_MESSAGE:
@@ -219,6 +252,8 @@ def residue_kind(page: Page) -> str | None:
             found["message"] += count["message"]
             found["filler"] += count["filler"]
             other += count["text"] if x.no in body else 0
+    if inside and is_template(*marks, sum(x.text.count(" ") + 1 for x in page.lines if x.kind in ("body", "note", "title"))):
+        return "placeholder"
     if other > found["message"] + found["filler"] + sum(len(x.text) for x in short):
         return None  # whatever the short lines are, paragraphs outweigh them
     for x in short:
