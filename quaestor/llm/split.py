@@ -73,10 +73,12 @@ def split_texts(df: DataFrame, id_col: str = "page_id", text_col: str = "text",
 def cut_kinds(df: DataFrame, id_col: str = "page_id", text_col: str = "text", limit: int = 15000, overlap: int = 200) -> DataFrame:
     """``(id_col, cut_kind)``, one row per oversized text: ``forced`` if a run of more than ``limit`` characters has no white space.
 
-    A text is looked at for such a run only if the splitter had to cut it inside a word.
+    A text is looked at for such a run only if the splitter had to cut it inside a word.  One pass, row by
+    row; rows with the same id are judged one by one.
     """
-    split = split_texts(df, id_col, text_col, limit, overlap)
-    per = split.groupBy(id_col).agg(F.max("mid_word").alias("_mid"))
-    runs = F.col(text_col).rlike(rf"[^{SPACES}]{{{limit + 1}}}")
-    long = df.where(F.length(text_col) > limit).select(F.col(id_col), runs.alias("_run"))
-    return long.join(per, id_col).select(id_col, F.when(F.col("_mid") & F.col("_run"), "forced").otherwise("natural").alias("cut_kind"))
+    long = df.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.length("_text") > limit)
+    text = F.col("_text")
+    inside = lambda p: (p["end"] < F.length(text)) & ~F.substr(text, p["end"], F.lit(2)).rlike(f"[{SPACES}]")
+    mid = F.exists(pieces_expr(text, limit, overlap), inside)
+    forced = F.when(mid, text.rlike(rf"[^{SPACES}]{{{limit + 1}}}")).otherwise(F.lit(False))
+    return long.select(id_col, F.when(forced, "forced").otherwise("natural").alias("cut_kind"))
