@@ -3,8 +3,13 @@
 Only the histogram (at most ``capacity`` rows, whatever the size of the data) comes to the driver.  There
 the lengths are placed longest first; equal packs are one *pattern* with a count, so the work depends on
 the capacity and not on the number of items.  Each slot of a pattern then takes a range of ranks within
-its length, and items find their container by rank.  Ranks are made per (length, salt) with offsets, so a
-length that a third of all items share is spread over many tasks.
+its length, and items find their container by rank.  Ranks are made per (length, salt) with offsets, with
+one salt for every ``SALT_ROWS`` items of a length, so a length that a third of all items share is spread
+over many tasks, and the driver sees one row for each.
+
+What is broadcast is bounded by the capacity alone: placing a length opens at most two patterns and splits
+at most one, so there are at most ``3 * capacity`` patterns, with at most ``sqrt(2 * capacity)`` different
+lengths each: 9 MB for a capacity of 2048.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from quaestor.plans.cut import cut
 
 #: Tokens of the public word-and-punctuation tokenizer, ``\w+|[^\w\s]+`` with Unicode classes.
 TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]+"
-SALTS = 64
+#: Items of one length that are ranked together.
+SALT_ROWS = 500_000
 
 
 def token_count(text: Column) -> Column:
@@ -93,9 +99,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     sized = counted.withColumn("n_pieces", F.expr(f"cast((n_tokens + {capacity - 1}) div {capacity} as int)"))
     pieces = sized.select(id_col, "n_tokens", "n_pieces", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))).alias("piece_no"))
     pieces = pieces.withColumn("size", F.when(F.col("piece_no") < F.col("n_pieces"), capacity).otherwise(F.col("n_tokens") - (F.col("n_pieces") - 1) * capacity))
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece_no"), F.lit(SALTS)).cast("int")))
+    pieces = cut(pieces)
+    per_length = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    salts = [(size, -(-n // SALT_ROWS)) for size, n in per_length.items()]
+    salted = pieces.join(F.broadcast(spark.createDataFrame(salts, "size int, salts int")), "size")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece_no"), F.col("salts")).cast("int")).drop("salts")
 
-    counts = pieces.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * SALTS rows
+    counts = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity + items / SALT_ROWS rows
     histogram: dict[int, int] = {}
     offsets = []
     for size, salt, n in sorted((r["size"], r["salt"], r["n"]) for r in counts):
@@ -104,22 +114,21 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     slots, used, base = [], dict.fromkeys(histogram, 0), 0
     for count, lengths in best_packing(histogram, capacity):
-        for length in lengths:
-            slots.append((length, used[length], used[length] + count, base - used[length]))
-            used[length] += count
+        for length in sorted(set(lengths)):
+            slots.append((length, used[length], count, base))
+            used[length] += count * lengths.count(length)
         base += count
-    ranked = pieces.join(F.broadcast(spark.createDataFrame(offsets, "size int, salt int, skip long")), ["size", "salt"])
+    ranked = salted.join(F.broadcast(spark.createDataFrame(offsets, "size int, salt int, skip long")), ["size", "salt"])
     order = Window.partitionBy("size", "salt").orderBy(F.col(id_col).asc_nulls_first(), "piece_no")
     ranked = ranked.withColumn("rank", F.col("skip") + F.row_number().over(order) - 1)
-    where = F.broadcast(_slot_table(spark, slots))
-    found = ranked.join(where, "size").withColumn("k", F.expr("size(filter(starts, x -> x <= rank)) - 1"))
-    return found.select(id_col, "piece_no", "n_pieces", "n_tokens", "size", (F.col("rank") + F.expr("moves[k]")).alias("container"))
+    found = ranked.join(F.broadcast(_slot_table(spark, slots)), "size").withColumn("k", F.expr("size(filter(starts, x -> x <= rank)) - 1"))
+    return found.select(id_col, "piece_no", "n_pieces", "n_tokens", "size", F.expr("bases[k] + (rank - starts[k]) % counts[k]").alias("container"))
 
 
 def _slot_table(spark, slots: list[tuple[int, int, int, int]]) -> DataFrame:
-    """One row per length: where the rank ranges of its slots start, and what leads from a rank to its container."""
-    by: dict[int, tuple[list[int], list[int]]] = {}
-    for length, start, _, move in sorted(slots):
-        by.setdefault(length, ([], []))[0].append(start)
-        by[length][1].append(move)
-    return spark.createDataFrame([(k, *v) for k, v in by.items()], "size int, starts array<long>, moves array<long>")
+    """One row per length: where the rank ranges of its patterns start, and the number and first container of each pattern."""
+    by: dict[int, tuple[list[int], list[int], list[int]]] = {}
+    for length, start, count, base in sorted(slots):
+        for values, x in zip(by.setdefault(length, ([], [], [])), (start, count, base)):
+            values.append(x)
+    return spark.createDataFrame([(k, *v) for k, v in by.items()], "size int, starts array<long>, counts array<long>, bases array<long>")
