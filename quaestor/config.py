@@ -35,3 +35,9 @@ def config_for(version: int | str) -> PipelineConfig:
     number = int(version)
     base = VERSIONS.get(number, VERSIONS[1])
     return base if base.crawl == (number > 2) else PipelineConfig(base.process_office_files, base.extract_with_model, number > 2)
+
+
+def crawl_roots(version: int | str, roots: list[str]) -> list[str]:
+    """The roots that a version crawls, of those given in order: none up to version 2, all in version 4, else the first."""
+    number = int(version)
+    return [] if number <= 2 else list(roots) if number == 4 else list(roots[:1])

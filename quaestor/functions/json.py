@@ -69,5 +69,6 @@ def parse_facts(text: Column) -> Column:
 
 
 def field(text: Column, name: str, default: str) -> Column:
-    """A top-level field of clean JSON objects as a string; the default where it is absent."""
-    return F.coalesce(F.get_json_object(text, f"$.{name}"), F.lit(default))
+    """A top-level field of clean JSON objects as a string; the default where it is absent, null where it is an explicit null."""
+    present = F.array_contains(F.json_object_keys(text), name)
+    return F.when(present, F.get_json_object(text, f"$.{name}")).otherwise(F.lit(default))

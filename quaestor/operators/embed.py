@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -16,7 +16,10 @@ from quaestor.functions.text import tokens
 
 
 class Embedder(Protocol):
-    """Turns texts into vectors.  Made anew on each worker, so the model is loaded once per Python process."""
+    """Turns texts into vectors.  Made anew on each worker, so the model is loaded once per Python process.
+
+    A class or any callable that can be pickled makes one; arguments are bound with ``functools.partial``.
+    """
 
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
@@ -36,7 +39,7 @@ class HashEmbedder:
         return np.divide(out, length, out=out, where=length > 0)
 
 
-def embed_column(text: Column, make: type[Embedder] = HashEmbedder) -> Column:
+def embed_column(text: Column, make: Callable[[], Embedder] = HashEmbedder) -> Column:
     """``ARRAY<FLOAT>`` for each text, in Arrow batches; null texts count as empty."""
 
     @F.pandas_udf("array<float>")

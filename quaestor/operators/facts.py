@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions import json, text
+from quaestor.plans.cut import cut, sized
 
 
 class FactExtractor(Protocol):
@@ -32,7 +33,7 @@ def passthrough_facts(df: DataFrame, file: str, body: str) -> DataFrame:
     return df.where(F.col(body).isNotNull()).select(file, text.strip(F.col(body)).alias("fact"))
 
 
-def _responses(chunk: Column, make: type[FactExtractor]) -> Column:
+def _responses(chunk: Column, make: Callable[[], FactExtractor]) -> Column:
     @F.pandas_udf("struct<response:string,failed:boolean>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -48,16 +49,17 @@ def _responses(chunk: Column, make: type[FactExtractor]) -> Column:
     return run(chunk)
 
 
-def extracted_facts(df: DataFrame, file: str, body: str, size: int = 15000, make: type[FactExtractor] = LineExtractor) -> DataFrame:
+def extracted_facts(df: DataFrame, file: str, body: str, size: int = 15000, make: Callable[[], FactExtractor] = LineExtractor) -> DataFrame:
     """``(file, chunk_no, pos, fact)``: texts cut into chunks, each read by the model.
 
     A response may stand in a code fence.  One that is no JSON list costs its chunk only; a failing model
-    costs all facts of the file.
+    costs all facts of the file.  The responses are written once, so no chunk is read by the model twice,
+    and only the names of failed files are gathered.
     """
     parts = df.select(file, F.explode(text.chunks(F.col(body), size)).alias("c")).select(file, "c.chunk_no", "c.chunk")
-    read = parts.withColumn("r", _responses(F.col("chunk"), make)).select(file, "chunk_no", "r.response", "r.failed")
-    sound = read.withColumn("spoiled", F.max("failed").over(Window.partitionBy(file))).where(~F.col("spoiled"))
-    return facts_of_responses(sound, file)
+    read = cut(parts.withColumn("r", _responses(F.col("chunk"), make)).select(file, "chunk_no", "r.response", "r.failed"))
+    spoiled = cut(read.where("failed").select(file).distinct())
+    return facts_of_responses(read.join(sized(spoiled), file, "left_anti"), file)
 
 
 def facts_of_responses(responses: DataFrame, file: str) -> DataFrame:

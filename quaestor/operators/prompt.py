@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -39,9 +40,9 @@ def labelled_context(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
 def student_clause(field: Column, term: Column, template: PromptTemplate = PromptTemplate()) -> Column:
     """A sentence on the user: with both values, with the field alone, or empty; empty strings count as missing."""
 
-    def filled(text: str) -> Column:
-        out = F.replace(F.lit(text), F.lit("{field}"), field)
-        return F.replace(out, F.lit("{term}"), F.coalesce(term, F.lit("")))
+    def filled(text: str) -> Column:  # put together from parts, so that values are never filled in themselves
+        values = {"{field}": field, "{term}": F.coalesce(term, F.lit(""))}
+        return F.concat(*(values.get(part, F.lit(part)) for part in re.split(r"(\{field\}|\{term\})", text) if part))
 
     has_field, has_term = F.coalesce(field != "", F.lit(False)), F.coalesce(term != "", F.lit(False))
     return F.when(has_field & has_term, filled(template.student_full)).when(has_field, filled(template.student_field)).otherwise(F.lit(""))
@@ -61,7 +62,10 @@ def full_prompt(query: Column, context: Column, field: Column, term: Column, tem
 
 
 class Answerer(Protocol):
-    """Turns prompts into answers.  Made anew on each worker."""
+    """Turns prompts into answers.  Made anew on each worker by a class, or by any callable that can be pickled.
+
+    Arguments such as a model's name or its temperature are bound beforehand: ``functools.partial(Model, name=..., temperature=0.5)``.
+    """
 
     def answer(self, prompts: list[str]) -> list[str]: ...
 
@@ -73,7 +77,7 @@ class ExtractiveAnswerer:
         return [p.partition("[S1]\n")[2].split("\n", 1)[0].strip() for p in prompts]
 
 
-def answer_column(prompt: Column, apology: str, make: type[Answerer] = ExtractiveAnswerer) -> Column:
+def answer_column(prompt: Column, apology: str, make: Callable[[], Answerer] = ExtractiveAnswerer) -> Column:
     """The model's stripped answer to each prompt; the apology where the model fails."""
 
     @F.pandas_udf("string")
@@ -91,7 +95,7 @@ def answer_column(prompt: Column, apology: str, make: type[Answerer] = Extractiv
     return run(prompt)
 
 
-def respond(queries: DataFrame, hits: DataFrame, no_hit: str, apology: str, template: PromptTemplate = PromptTemplate(), make: type[Answerer] = ExtractiveAnswerer) -> DataFrame:
+def respond(queries: DataFrame, hits: DataFrame, no_hit: str, apology: str, template: PromptTemplate = PromptTemplate(), make: Callable[[], Answerer] = ExtractiveAnswerer) -> DataFrame:
     """``(query_id, answer, sources)`` for each query: the fixed answer and no sources where nothing was found, else the model's.
 
     Queries without hits never reach the model.

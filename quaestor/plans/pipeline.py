@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from quaestor.operators.retrieve import top_k_batch
 from quaestor.sources.index import append_index, open_index
 
 
-def facts_table(texts: DataFrame, config: PipelineConfig, extractor: type[FactExtractor] = LineExtractor) -> DataFrame:
+def facts_table(texts: DataFrame, config: PipelineConfig, extractor: Callable[[], FactExtractor] = LineExtractor) -> DataFrame:
     """``(file, chunk_no, pos, source, fact)`` from ``texts (file, text, source_url)``, one fact per text or what a model extracts."""
     if config.extract_with_model:
         found = extracted_facts(texts, "file", "text", config.chunk_chars, extractor)
@@ -23,7 +25,7 @@ def facts_table(texts: DataFrame, config: PipelineConfig, extractor: type[FactEx
     return truthy_facts(found.join(sources, "file").select("file", "chunk_no", "pos", "source", "fact"))
 
 
-def build_index(texts: DataFrame, path: str, config: PipelineConfig, embedder: type[Embedder] = HashEmbedder, extractor: type[FactExtractor] = LineExtractor, only_new: bool = False) -> None:
+def build_index(texts: DataFrame, path: str, config: PipelineConfig, embedder: Callable[[], Embedder] = HashEmbedder, extractor: Callable[[], FactExtractor] = LineExtractor, only_new: bool = False) -> None:
     """Texts to facts to vectors to the index at ``path``."""
     facts = facts_table(texts, config, extractor).withColumn("embedding", embed_column(F.col("fact"), embedder))
     append_index(facts, path, [F.col("file"), F.col("chunk_no"), F.col("pos")], only_new)
@@ -35,7 +37,7 @@ def valid_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok)
 
 
-def answer(spark: SparkSession, queries: DataFrame, index_path: str, no_hit: str, apology: str, k: int = 5, embedder: type[Embedder] = HashEmbedder, answerer: type[Answerer] = ExtractiveAnswerer, template: PromptTemplate = PromptTemplate()) -> DataFrame:
+def answer(spark: SparkSession, queries: DataFrame, index_path: str, no_hit: str, apology: str, k: int = 5, embedder: Callable[[], Embedder] = HashEmbedder, answerer: Callable[[], Answerer] = ExtractiveAnswerer, template: PromptTemplate = PromptTemplate()) -> DataFrame:
     """``(query_id, answer, sources)`` for ``queries (query_id, query, field_of_study, semester)``."""
     asked, _ = valid_queries(queries)
     vectors = asked.select("query_id", embed_column(F.col("query"), embedder).alias("embedding"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -14,13 +15,17 @@ from quaestor.operators.relational import last_per_key, limit_per_group
 
 
 class Fetcher(Protocol):
-    """Gets the text and links of one address; raises on failure.  Made anew on each worker."""
+    """Gets the text and links of one address; raises on failure.  Made anew on each worker; a timeout is bound to it with ``functools.partial``."""
 
     def fetch(self, url: str) -> tuple[str, list[str]]: ...
 
 
-def fetch_pages(urls: DataFrame, make: type[Fetcher]) -> DataFrame:
-    """``(url, text, links, error)``: one row per address; failures, missing texts included, have an error and no text."""
+def fetch_pages(urls: DataFrame, make: Callable[[], Fetcher], delay: float = 0.0) -> DataFrame:
+    """``(url, text, links, error)``: one row per address; failures, missing texts included, have an error and no text.
+
+    After each page that was got, a task waits ``delay`` seconds; how many tasks there are is up to the
+    partitions of ``urls``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetcher = make()
@@ -32,6 +37,8 @@ def fetch_pages(urls: DataFrame, make: type[Fetcher]) -> DataFrame:
                     if text is None:
                         raise ValueError("no text")
                     rows.append((url, text, list(links or []), None))
+                    if delay:
+                        time.sleep(delay)
                 except Exception as e:  # one address fails, the scan goes on
                     rows.append((url, None, [], str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["url", "text", "links", "error"])

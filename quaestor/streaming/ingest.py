@@ -22,6 +22,6 @@ def stream_facts(spark: SparkSession, folder: str, index_path: str, checkpoint:
 
     def add(batch: DataFrame, _: int) -> None:
         facts = facts_of_files(batch).withColumn("embedding", embed_column(F.col("fact")))
-        append_index(facts, index_path, [F.col("file"), F.col("pos")], only_new=True)
+        append_index(facts, index_path, [F.col("file"), F.col("pos")], only_new=True)  # leaves no table of its own behind
 
     return named.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
