@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.config import VERSIONS, PipelineConfig, config_for
-from quaestor.functions import json, text
+from quaestor.functions import arrays, json, text
 from quaestor.operators import ann, embed, facts, prompt, relational, retrieve
+from quaestor.plans.cut import scratch_path
 from quaestor.plans.pipeline import valid_queries
+from quaestor.sources import index as index_source
 from quaestor.sources import pages as page_source
+from quaestor.sources import sinks
 from quaestor.sources.files import with_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +22,8 @@ _DEFAULTS: PipelineConfig = VERSIONS[1]
 
 # Markers of the page trimming queries: what stands before the first heading, and after the copyright sign.
 _HEAD, _FOOT = "\n# ", "©"
+#: Limits that bite on small tables too; production has those of ``PipelineConfig``.
+_CRAWL_LIMIT, _WRITE_BATCH = 20, 500
 _NO_HIT, _APOLOGY, _SOURCES_TITLE = "Nothing was found.", "No answer could be made.", "Sources:"
 
 
@@ -64,7 +69,7 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crawl_limit(spark: SparkSession, d: str) -> DataFrame:
-    return page_source.crawled_pages(_t(spark, d, "scraped_pages"), limit=_DEFAULTS.crawl_limit).select("crawl_root", "page_id", F.length("text").alias("n_chars"))
+    return page_source.crawled_pages(_t(spark, d, "scraped_pages"), limit=_CRAWL_LIMIT).select("crawl_root", "page_id", F.length("text").alias("n_chars"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +106,60 @@ def json_field_default(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", json.field(F.col("props"), "k", "unknown").alias("k"), json.field(F.col("props"), "source", "unknown").alias("source"))
 
 
+def json_field_null(spark: SparkSession, d: str) -> DataFrame:
+    """Objects without the field, with an explicit null and with a value; and no object at all."""
+    value = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.col("source"), F.lit('"')))
+    made = F.when(F.col("fact_id") % 3 == 0, F.lit("{}")).when(F.col("fact_id") % 7 != 0, F.concat(F.lit('{"source": '), value, F.lit("}")))
+    return _t(spark, d, "facts").select("fact_id", json.field(made, "source", "unknown").alias("source"))
+
+
+def fact_files(spark: SparkSession, d: str) -> DataFrame:
+    """All facts written as fact files, one JSON list per file, and read again."""
+    item = F.to_json(F.struct("source", "fact"))  # without fields that are null
+    per = _t(spark, d, "facts").where("file is not null").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "fact_id", item.alias("j")))).alias("x"))
+    texts = per.select("file", F.concat(F.lit("["), F.array_join(F.transform("x", lambda y: y["j"]), ", "), F.lit("]")).alias("text"))
+    return facts.facts_of_files(texts)
+
+
+def fact_table(spark: SparkSession, d: str) -> DataFrame:
+    """The facts as the offline flow writes them, read back from its table."""
+    rows = _t(spark, d, "facts").where("file is not null and pos is not null and fact is not null").select("file", F.lit(0).alias("chunk_no"), F.col("pos").cast("int").alias("pos"), "source", "fact")
+    path = scratch_path(spark)
+    sinks.write_facts(rows, path)
+    return spark.read.parquet(path)
+
+
+def index_append(spark: SparkSession, d: str) -> DataFrame:
+    """All facts appended to an index twice: every row is there twice, and ids go on."""
+    rows = facts.truthy_facts(_t(spark, d, "facts")).select("file", "pos", "fact_id", "source", "fact", F.array(F.lit(3.0).cast("float"), F.lit(4.0).cast("float")).alias("embedding"))
+    order = [F.col("file").asc_nulls_first(), F.col("pos").asc_nulls_first(), F.col("fact_id").asc()]
+    path = scratch_path(spark)
+    for _ in range(2):
+        index_source.append_index(rows, path, order)
+    return index_source.open_index(spark, path).select("id", "document", "url", "norm")
+
+
+def index_only_new(spark: SparkSession, d: str) -> DataFrame:
+    """The same with rows that are there already left out: each source and text once, whatever is delivered again."""
+    rows = facts.truthy_facts(_t(spark, d, "facts")).select("file", "pos", "fact_id", "source", "fact", F.array(F.lit(3.0).cast("float"), F.lit(4.0).cast("float")).alias("embedding"))
+    order = [F.col("file").asc_nulls_first(), F.col("pos").asc_nulls_first(), F.col("fact_id").asc()]
+    path = scratch_path(spark)
+    for part in (rows.where("fact_id % 2 = 0"), rows):  # first a part of the table, then all of it
+        index_source.append_index(part, path, order, only_new=True)
+    return index_source.open_index(spark, path).select("document", "url")
+
+
+def zipped_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's links with the pieces of its address, as far as both go."""
+    return _t(spark, d, "scraped_pages").select("page_id", F.explode(arrays.zip_shortest(F.col("links"), F.split("url", "/"))).alias("z")).select("page_id", "z.a", "z.b")
+
+
+def vector_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors in parts of 24 elements: where each begins and how many it has."""
+    parts = F.posexplode(arrays.slices(F.col("embedding"), 24)).alias("part", "v")
+    return _t(spark, d, "embeddings").select("vec_id", parts).select("vec_id", "part", F.size("v").alias("n"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
+
+
 def source_default(spark: SparkSession, d: str) -> DataFrame:
     """Facts as a struct with a source, the file for those that have none, and address metadata."""
     src = F.coalesce("source", F.lit("Unknown Source"))
@@ -149,7 +208,7 @@ def write_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = facts.truthy_facts(_t(spark, d, "facts")).select("file", "pos", "fact_id")
     order = [F.col("file").asc_nulls_first(), F.col("pos").asc_nulls_first(), F.col("fact_id").asc()]
     n = relational.numbered(rows, order)
-    batch = F.expr(f"(n - 1) div {_DEFAULTS.write_batch}").alias("batch")
+    batch = F.expr(f"(n - 1) div {_WRITE_BATCH}").alias("batch")
     return n.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
 
 
@@ -190,8 +249,13 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     return prompt.labelled_context(_hits(spark, d)).select("query_id", "context")
 
 
+def _vector_of(query_id: str) -> Column:
+    """Which of the searched vectors stands for a chat query."""
+    return F.pmod(query_id, F.lit(10)) * 50
+
+
 def prompt_full(spark: SparkSession, d: str) -> DataFrame:
-    asked = _t(spark, d, "chat_queries").where("query <> ''").select(F.col("query_id"), "query", "field_of_study", "semester", F.pmod("query_id", F.lit(500)).alias("vec"))
+    asked = _t(spark, d, "chat_queries").where("query <> ''").select("query_id", "query", "field_of_study", "semester", _vector_of("query_id").alias("vec"))
     asked = asked.dropDuplicates(["query_id"])
     contexts = prompt.labelled_context(_hits(spark, d)).select(F.col("query_id").alias("vec"), "context")
     joined = asked.join(contexts, "vec", "left")
@@ -217,11 +281,13 @@ def sources_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def no_hit_answer(spark: SparkSession, d: str) -> DataFrame:
-    """Every non-empty query with the sources of its answers; those without an answer get the fixed one."""
+    """Every non-empty query answered from the hits of its vector; odd ones have none and get the fixed answer."""
     asked, _ = valid_queries(_t(spark, d, "chat_queries"))
-    asked = asked.select("query_id").distinct()
-    given = _t(spark, d, "chat_answers").groupBy("query_id").agg(F.max(F.coalesce("answer", F.lit(""))).alias("given"))
-    return asked.join(given, "query_id", "left").select("query_id", F.coalesce("given", F.lit(_NO_HIT)).alias("answer"))
+    asked = asked.dropDuplicates(["query_id"])
+    near = asked.where("query_id % 2 = 0").select("query_id", _vector_of("query_id").alias("vec"))
+    hits = _hits(spark, d).withColumnRenamed("query_id", "vec").join(near, "vec").select("query_id", "rank", "text", "source_url")
+    out = prompt.respond(asked, hits, _NO_HIT, _APOLOGY)
+    return out.select("query_id", "answer", F.size("sources").alias("n_sources"))
 
 
 def ui_format(spark: SparkSession, d: str) -> DataFrame:
@@ -243,6 +309,13 @@ def chat_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors from the embedding interface, element by element."""
+    vectors = _t(spark, d, "facts").where("fact is not null").select("fact_id", embed.embed_column(F.col("fact")).alias("v"))
+    return vectors.select("fact_id", F.posexplode("v").alias("bucket", "x")).where("x > 0").select("fact_id", "bucket", F.round(F.col("x").cast("double"), 4).alias("value"))
+
+
+def hash_embed_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """The same from JVM expressions alone."""
     return embed.hash_embedding(_t(spark, d, "facts"), "fact_id", "fact")
 
 
@@ -269,9 +342,9 @@ def answer_chat(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = """
     topk_single topk_batch topk_cells trim_head trim_foot trim_both safe_name page_header page_files crawl_limit page_links chunk_fixed passthrough_fact
-    nonblank_paragraphs truthy_facts facts_name code_fence json_field_default source_default table_markdown config_versions last_wins
+    nonblank_paragraphs truthy_facts facts_name code_fence json_field_default json_field_null fact_files fact_table index_append index_only_new zipped_links vector_slices source_default table_markdown config_versions last_wins
     sidecar_source union_folders assign_ids write_batches collection_counts prompt_context prompt_full student_clause query_rejects
-    sources_ranked sources_distinct no_hit_answer ui_format chat_history hash_embed facts_extractive answer_extractive answer_chat
+    sources_ranked sources_distinct no_hit_answer ui_format chat_history hash_embed hash_embed_sparse facts_extractive answer_extractive answer_chat
 """.split()
 
 

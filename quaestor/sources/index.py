@@ -26,7 +26,7 @@ def _rows_in(spark: SparkSession, path: str) -> int:
 
 
 #: Hex digits of a key that name its bucket.
-_BUCKET_DIGITS = 3
+_BUCKET_DIGITS = 2
 
 
 def _keyed(rows: DataFrame, source: str, text: str) -> DataFrame:
@@ -57,7 +57,7 @@ def append_index(facts: DataFrame, path: str, order: list[Column], only_new: boo
         if only_new:
             facts = cut(_keyed(facts, "source", "fact").dropDuplicates(["key"]))
             if base:
-                buckets = [r[0] for r in facts.select("bucket").distinct().collect()]  # 4096 at most
+                buckets = [r[0] for r in facts.select("bucket").distinct().collect()]  # 256 at most
                 old = _keys(spark, path, base).where(F.col("bucket").isin(buckets)).select("key")
                 facts = cut(facts.join(old, "key", "left_anti"))
         rows = assign_ids(facts, order, base)
