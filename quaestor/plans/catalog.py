@@ -95,7 +95,7 @@ def truthy_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facts_name(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "facts").select("fact_id", text.base_name(F.col("file")).alias("base"), text.facts_name(text.base_name(F.col("file"))).alias("out_name"))
+    return _t(spark, d, "facts").select("fact_id", text.base_name(F.col("file")).alias("base"), text.facts_name(F.col("file")).alias("out_name"))
 
 
 def code_fence(spark: SparkSession, d: str) -> DataFrame:

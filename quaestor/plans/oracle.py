@@ -51,7 +51,7 @@ SQL: dict[str, str] = {
     "passthrough_fact": f"SELECT doc_id, {_strip('text')} AS fact FROM documents WHERE text IS NOT NULL",
     "nonblank_paragraphs": f"SELECT doc_id, (pos - 1)::INT AS pos, line FROM (SELECT doc_id, unnest(generate_series(1, len(lines))) AS pos, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)) WHERE {_strip('line')} <> ''",
     "truthy_facts": f"SELECT fact_id, fact {_TRUTHY}",
-    "facts_name": r"SELECT fact_id, regexp_replace(file, '\.[^.]*$', '') AS base, regexp_replace(regexp_replace(file, '\.[^.]*$', ''), '\.[^.]*$', '') || '_facts.json' AS out_name FROM facts",
+    "facts_name": r"SELECT fact_id, regexp_replace(file, '\.[^.]*$', '') AS base, regexp_replace(file, '\.[^.]*$', '') || '_facts.json' AS out_name FROM facts",
     "code_fence": "SELECT answer_id, CASE WHEN starts_with(answer, '```') THEN replace(replace(answer, '```json', ''), '```', '') ELSE answer END AS answer FROM chat_answers",
     "json_field_default": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'unknown') AS k, coalesce(json_extract_string(props, '$.source'), 'unknown') AS source FROM events",
     "source_default": "SELECT fact_id, coalesce(source, 'Unknown Source') AS source, coalesce(source, 'Unknown Source') AS url FROM facts",
@@ -61,7 +61,7 @@ SQL: dict[str, str] = {
     "sidecar_source": r"""WITH files AS (SELECT DISTINCT regexp_replace(file, '_facts\.json$', '.txt') AS file FROM facts),
 known AS (SELECT file, max(source_url) AS url FROM sidecars WHERE file IS NOT NULL GROUP BY file)
 SELECT f.file, CASE WHEN a.file IS NOT NULL THEN a.url WHEN b.file IS NOT NULL THEN b.url ELSE f.file END AS source_url FROM files f
-LEFT JOIN known a ON a.file = replace(f.file, '.txt', '.json') LEFT JOIN known b ON b.file = regexp_replace(regexp_replace(f.file, '\.[^.]*$', ''), '\.[^.]*$', '') || '.json'""",
+LEFT JOIN known a ON a.file = replace(f.file, '.txt', '.json') LEFT JOIN known b ON b.file = regexp_replace(f.file, '\.[^.]*$', '') || '.json'""",
     "union_folders": "SELECT id, arg_max({'v': n}, p).v AS n_chars, max(p) AS folder_priority FROM (SELECT page_id AS id, length(text) AS n, 0 AS p FROM scraped_pages UNION ALL SELECT doc_id, length(text), 1 FROM documents) GROUP BY id",
     "assign_ids": f"SELECT fact_id, 'ids_' || (n + 10) AS id FROM ({_NUMBERED})",
     "write_batches": f"SELECT (n - 1) // 500 AS batch, count(*) AS rows, min(n) AS first_n, max(n) AS last_n FROM ({_NUMBERED}) GROUP BY 1",
@@ -80,7 +80,7 @@ LEFT JOIN known a ON a.file = replace(f.file, '.txt', '.json') LEFT JOIN known b
     f"LEFT JOIN (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN split_part(coalesce(text, ''), chr(10), 1) END) AS line FROM ({_HITS}) GROUP BY 1) h ON q.query_id % 2 = 0 AND h.query_id = (q.query_id % 10) * 50",
     "json_field_null": "SELECT fact_id, CASE WHEN fact_id % 3 = 0 OR fact_id % 7 = 0 THEN 'unknown' ELSE source END AS source FROM facts",
     "fact_files": "SELECT file, (n - 1)::INT AS pos, coalesce(source, 'unknown') AS source, fact FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos NULLS FIRST, fact_id) AS n FROM facts WHERE file IS NOT NULL) WHERE fact <> ''",
-    "fact_table": r"""WITH f AS (SELECT regexp_replace(regexp_replace(file, '\.[^.]*$', ''), '\.[^.]*$', '') || '_facts.json' AS name, * FROM facts WHERE file IS NOT NULL AND pos IS NOT NULL AND fact IS NOT NULL)
+    "fact_table": r"""WITH f AS (SELECT regexp_replace(file, '\.[^.]*$', '') || '_facts.json' AS name, * FROM facts WHERE file IS NOT NULL AND pos IS NOT NULL AND fact IS NOT NULL)
 SELECT name AS file, 0 AS chunk_no, pos::INT AS pos, source, fact FROM f WHERE file = (SELECT max(g.file) FROM f g WHERE g.name = f.name)""",
     "index_append": f"SELECT 'ids_' || (n + k * (SELECT count(*) {_TRUTHY})) AS id, fact AS document, source AS url, 5.0::DOUBLE AS norm FROM ({_NUMBERED}) JOIN facts USING (fact_id), (SELECT unnest([0, 1]) AS k)",
     "index_only_new": f"SELECT DISTINCT fact AS document, source AS url {_TRUTHY}",

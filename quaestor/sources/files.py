@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -74,7 +75,7 @@ def scan_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
 def with_sources(texts: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Texts with ``source_url`` from their sidecar, found under either of two names, else the file name."""
     first = text.swap_suffix(F.col("file"), ".txt", ".json")
-    second = F.concat(text.base_name(text.base_name(F.col("file"))), F.lit(".json"))
+    second = F.concat(text.base_name(F.col("file")), F.lit(".json"))
     return lookup_source(texts, sidecars, first, second, F.col("file"))
 
 
@@ -108,8 +109,41 @@ def _column(reference: str) -> int:
     return max(n - 1, 0)
 
 
+#: Numbers of the built-in formats that show dates or times (fixed values of the file format).
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+#: What of a format is no code: quoted and escaped text, colours and conditions.
+_FORMAT_TEXT = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles of a workbook that show a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): bool(re.search("[ymdhs]", _FORMAT_TEXT.sub("", f.get("formatCode") or ""), re.I)) for f in root.iter(f"{_X}numFmt")}
+    cells = root.find(f"{_X}cellXfs")
+    formats = [int(x.get("numFmtId") or 0) for x in cells.findall(f"{_X}xf")] if cells is not None else []
+    return {k for k, n in enumerate(formats) if own.get(n, n in _DATE_FORMATS)}
+
+
+def _moment(serial: str, since_1904: bool) -> str:
+    """The date and time of a serial number of days, to the second; a pure time of day below 1."""
+    try:
+        days = float(serial)
+    except ValueError:
+        return serial
+    seconds = round(days * 86400)
+    if 0 <= days < 1 and not since_1904:
+        return str(datetime.timedelta(seconds=seconds)).rjust(8, "0")
+    start = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 30 if days >= 60 else 31)  # 1900 was no leap year
+    return str(start + datetime.timedelta(seconds=seconds))
+
+
 def xlsx_sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
-    """``(sheet, rows of cells)`` in the workbook's order; cells as text, missing ones empty."""
+    """``(sheet, rows of cells)`` in the workbook's order; cells as text, missing ones empty.
+
+    Dates and times come as ``2020-05-03 00:00:00``, truth values as ``True`` and ``False``, as a data frame shows them.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = []
@@ -117,7 +151,10 @@ def xlsx_sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
             shared = ["".join(t.text or "" for t in si.iter(f"{_X}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_X}si")]
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_X}sheet"):
+        dates = _date_styles(z)
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        since_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_X}workbookPr"))
+        for sheet in book.iter(f"{_X}sheet"):
             target = links[sheet.get(f"{_R}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             rows = []
@@ -131,8 +168,14 @@ def xlsx_sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
                         cells[at] = shared[int(value.text)]
                     elif c.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{_X}t"))
+                    elif value is None or not value.text:
+                        cells[at] = ""
+                    elif c.get("t") == "b":
+                        cells[at] = str(value.text == "1")
+                    elif c.get("t", "n") == "n" and int(c.get("s") or 0) in dates:
+                        cells[at] = _moment(value.text, since_1904)
                     else:
-                        cells[at] = value.text or "" if value is not None else ""
+                        cells[at] = value.text
                 rows.append(cells)
             out.append((sheet.get("name"), rows))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import base_name, facts_name
+from quaestor.functions.text import facts_name
 from quaestor.sources.pages import text_files
 
 
@@ -25,7 +25,7 @@ def write_facts(facts: DataFrame, path: str) -> None:
     Rows and not arrays, so one huge file is many rows.  Files without facts have none, and nothing of
     an earlier run stays.
     """
-    named = facts.withColumn("name", facts_name(base_name(F.col("file"))))
+    named = facts.withColumn("name", facts_name(F.col("file")))
     winners = named.groupBy("name").agg(F.max("file").alias("file"))
     kept = named.join(winners, ["name", "file"], "left_semi")
     kept.select(F.col("name").alias("file"), "chunk_no", "pos", "source", "fact").write.mode("overwrite").parquet(path)

@@ -71,6 +71,20 @@ def test_office_files(spark, tmp_path):
     assert rows(files.scan_office(spark, str(folder), enabled=False)) == rows(files.scan_office(spark, str(tmp_path / "none"))) == []
 
 
+def test_excel_dates_and_truth_values(tmp_path):
+    S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {S} {R}><sheets><sheet name="One" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f"""<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/><numFmt numFmtId="165" formatCode="0.00&quot; days&quot;"/></numFmts>
+            <cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="20"/></cellXfs></styleSheet>""")
+        cells = '<c r="A1" s="1"><v>43954</v></c><c r="B1" s="2"><v>43954.75</v></c><c r="C1" s="3"><v>2.5</v></c><c r="D1" t="b"><v>1</v></c><c r="E1" t="b"><v>0</v></c><c r="F1" s="4"><v>0.5</v></c><c r="G1" s="1"/><c r="H1"><v>7</v></c>'
+        z.writestr("xl/worksheets/s1.xml", f"<worksheet {S}><sheetData><row>{cells}</row></sheetData></worksheet>")
+    [(_, [row])] = files.xlsx_sheets((tmp_path / "d.xlsx").read_bytes())
+    assert row == ["2020-05-03 00:00:00", "2020-05-03 18:00:00", "2.5", "True", "False", "12:00:00", "", "7"]
+
+
 def test_fetcher(spark):
     class Web:
         def fetch(self, url):
@@ -118,6 +132,10 @@ def test_streaming_ingest(spark, tmp_path):
     got = index.open_index(spark, str(tmp_path / "index"))
     assert sorted((r["id"], r["document"]) for r in got.collect()) == [("ids_1", "f"), ("ids_2", "g"), ("ids_3", "h")]
     assert got.select(F.max(F.size("embedding"))).first()[0] == 64
+    index.append_index(got.selectExpr("url source", "document fact", "embedding"), str(tmp_path / "index"), [F.col("fact")])  # rows without keys
+    (folder / "c.json").write_text('[{"fact": "h"}, {"fact": "i"}]')
+    assert stream_facts(*args).awaitTermination(60)
+    assert sorted(r["document"] for r in index.open_index(spark, str(tmp_path / "index")).collect()) == ["f", "f", "g", "g", "h", "h", "i"]
 
 
 def test_sinks(spark, tmp_path):
@@ -128,6 +146,8 @@ def test_sinks(spark, tmp_path):
     for rows_ in (facts, facts.where("file = 'a.txt'")):
         sinks.write_facts(rows_, path)
     assert rows(spark.read.parquet(path), "pos") == [("a_facts.json", 0, 0, "s", "x"), ("a_facts.json", 0, 1, None, "y")]
+    sinks.write_facts(facts.where("file = 'b.txt'").withColumn("file", F.lit("b.docx.txt")), path)
+    assert rows(spark.read.parquet(path)) == [("b.docx_facts.json", 1, 0, "s", "z")]  # one extension goes
     pages_ = spark.createDataFrame([(1, "https://a", "x#y"), (2, "https://a/", "z")], "page_id long, url string, text string")
     sinks.write_pages(pages_, path, "#", "!")
     assert rows(spark.read.parquet(path)) == [("a.txt", "URL: https://a/\n\nz")]

@@ -51,6 +51,7 @@ def test_strict_json_lists(spark):
 
 def test_field_default(spark):
     assert column(spark, ['{"k": 1}', '{"j": 1}', None], lambda t: json.field(t, "k", "d")) == ["1", "d", "d"]
+    assert column(spark, ['{"k": null}', '{"k": "x"}', "[1]"], lambda t: json.field(t, "k", "d")) == [None, "x", "d"]
 
 
 def test_markdown_row(spark):
