@@ -37,7 +37,7 @@ def test_chat_over_http(spark, tmp_path):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     port = server.server_address[1]
     try:
-        assert post(port, {"query": "do dogs bark?"}) == (200, {"answer": "DOGS BARK!", "sources": ["Unknown"]})
+        assert post(port, {"query": "do dogs bark?"}) == (200, {"answer": "DOGS BARK!", "sources": ["Unknown", "ua"]})
         assert post(port, {"query": "?"}) == (200, {"answer": "Nothing was found.", "sources": []})
         assert post(port, {"query": ""})[0] == 400
         assert [post(port, b)[0] for b in ({}, [], b"{", {"query": 3})] == [422] * 4
