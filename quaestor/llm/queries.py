@@ -116,6 +116,12 @@ SELECT page_id, site, unnest(generate_series(1, len(lines))) AS line_no, unnest(
 SELECT page_id, {_SITE} AS site, string_split(text, chr(10)) AS lines FROM scraped_pages WHERE url IS NOT NULL AND text IS NOT NULL)) WHERE site <> ''),
 r AS (SELECT site, k FROM l WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT page_id) >= 5)
 SELECT page_id, line_no::BIGINT AS line_no FROM l JOIN r USING (site, k)""",
+        "p1_clean": f"""WITH l AS (SELECT page_id, site, line_no, line, regexp_replace(lower(line), '[^\\pL]', '', 'g') AS k FROM (
+SELECT page_id, site, unnest(generate_series(1, len(lines))) AS line_no, unnest(lines) AS line FROM (
+SELECT page_id, {_SITE} AS site, string_split(text, chr(10)) AS lines FROM scraped_pages WHERE text IS NOT NULL))),
+r AS (SELECT site, k, true AS gone FROM l WHERE k <> '' AND site <> '' GROUP BY ALL HAVING count(DISTINCT page_id) >= 5),
+c AS (SELECT page_id, count(gone)::INT AS removed, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE gone IS NULL), '') AS text FROM l LEFT JOIN r USING (site, k) GROUP BY page_id)
+SELECT p.page_id, coalesce(c.removed, 0)::INT AS removed, c.text FROM scraped_pages p LEFT JOIN c USING (page_id)""",
         "p3_found": "SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ]+'), lambda x: length(x))) > 15000 "
         "THEN 'forced' ELSE 'natural' END AS cut_kind FROM scraped_pages WHERE length(text) > 15000",
         "p7_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_RE2_TOKEN}')) > 2048",
@@ -126,6 +132,10 @@ SELECT DISTINCT dw.id AS doc_id, iw.id AS item_id FROM dw JOIN iw USING (s)""",
         "p9_found": """WITH s AS (SELECT doc_id, hash(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM documents WHERE length(text) >= 300)),
 m AS (SELECT DISTINCT h, doc_id FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(DISTINCT doc_id) > 1))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p9_shared": """WITH s AS (SELECT doc_id, p, hash(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM documents WHERE length(text) >= 300)),
+m AS (SELECT doc_id, p FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+g AS (SELECT doc_id, least(300, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 300)) AS n FROM m)
+SELECT doc_id, length(d.text)::INT AS n_chars, c.n::INT AS shared_chars FROM (SELECT doc_id, sum(n) AS n FROM g GROUP BY 1) c JOIN documents d USING (doc_id)""",
     }
 
 
