@@ -172,12 +172,13 @@ def is_latin_filler(text: str) -> bool:
     return not any(w in STOPWORDS for w in words) and len(set(words)) <= 0.85 * len(words)
 
 
-def _line_class(x: Line) -> str:
-    if MESSAGE.search(x.text):
+def _line_class(x: Line, inside: bool) -> str:
+    """What a short line is; only where ``inside``, messages are looked for elsewhere than at its beginning."""
+    if MESSAGE.search(x.text) if inside else MESSAGE.match(x.text):
         return "message"
-    if FILLER.search(x.text):
+    if FILLER.match(x.text):
         return "filler"
-    if TRACE.search(x.text):
+    if TRACE.match(x.text):
         return "trace"
     return "filler" if is_latin_filler(x.text) else "text"
 
@@ -256,8 +257,10 @@ def residue_kind(page: Page) -> str | None:
         return "placeholder"
     if other > found["message"] + found["filler"] + sum(len(x.text) for x in short):
         return None  # whatever the short lines are, paragraphs outweigh them
+    low = "\n".join(x.text for x in short).lower()
+    inside = any(w in low for w in _INSIDE)
     for x in short:
-        what = _line_class(x)
+        what = _line_class(x, inside)
         if what in found:
             found[what] += max(1, len(x.text))
         elif what == "text" and x.no in body and x.kind != "title":
